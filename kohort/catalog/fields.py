@@ -137,7 +137,7 @@ def flatten_concat(spark, d):
 
 @query(
     "onehot_weighted",
-    """SELECT subject_id, CAST(s.site AS INTEGER) AS slot, CASE WHEN c.site = s.site THEN 10000.0 ELSE 0.0 END AS v
+    """SELECT subject_id, CAST(s.site AS INTEGER) AS slot, CAST(CASE WHEN c.site = s.site THEN 10000 ELSE 0 END AS DOUBLE) AS v
        FROM cohort c, (SELECT DISTINCT site FROM cohort) s""",
     "cohort",
 )
@@ -185,8 +185,8 @@ def round_half_even(spark, d):
 
 @query(
     "format_report",
-    """SELECT rpad(upper(CAST(subject_id AS VARCHAR)), 12, ' ') || ' ' || printf('pred %7.3f', prediction) || ' ' ||
-       printf('err %7.3f', abs(age - prediction)) AS line FROM predictions WHERE NOT is_train""",
+    """SELECT rpad(upper(CAST(subject_id AS VARCHAR)), 12, ' ') || ' ' || printf('pred %7.3f', floor(prediction * 1000 + 0.5) / 1000) || ' ' ||
+       printf('err %7.3f', floor(abs(age - prediction) * 1000 + 0.5) / 1000) AS line FROM predictions WHERE NOT is_train""",
     "predictions",
 )
 def format_report(spark, d):

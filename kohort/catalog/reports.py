@@ -7,7 +7,8 @@ from . import views as V
 from .registry import query
 
 BLEND = """SELECT s.subject_id, s.site,
-    CAST(round_even(least(greatest(w.total / w.weights, r.min_age), r.max_age), 0) AS INTEGER) AS age,
+    CASE WHEN w.total IS NOT NULL AND r.min_age IS NOT NULL THEN
+      CAST(round_even(least(greatest(w.total / w.weights, r.min_age), r.max_age), 0) AS INTEGER) END AS age,
     round(w.uncertainty, 6) AS uncertainty, CAST(coalesce(w.n_models, 0) AS INTEGER) AS n_models
   FROM (SELECT * FROM subjects WHERE NOT is_train) s LEFT JOIN site_ranges r ON s.site = r.site
   LEFT JOIN (SELECT subject_id, sum(weight * clipped) AS total, sum(CASE WHEN clipped IS NOT NULL THEN weight END) AS weights,

@@ -81,5 +81,5 @@ def dot(a: Column, b: Column) -> Column:
 def report_line(subject: Column, **numbers: Column) -> Column:
     """Fixed-width report text: upper-case id, then ``name value`` pairs at width 7, 3 decimals."""
     parts = [F.rpad(F.upper(subject), 12, " ")]
-    parts += [F.format_string(f"{name} %7.3f", value) for name, value in numbers.items()]
+    parts += [F.format_string(f"{name} %7.3f", F.floor(value * 1000 + 0.5) / 1000) for name, value in numbers.items()]
     return F.concat_ws(" ", *parts)

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,9 +131,9 @@ def average_ranks(rows: DataFrame, value: str, rank: str, buckets: int = 256) ->
     total below it. A value held by a third of the rows is a single counted row here.
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    marks = counted.select(quantile_marks("_v", buckets, 10 * buckets).alias("m"))
-    marked = counted.withColumn("_m", marks.scalar())
-    marked = marked.select("_v", "_c", F.size(F.filter("_m", lambda m: m < F.col("_v"))).alias("_b"))
+    marks = counted.select(quantile_marks("_v", buckets, 10 * buckets).alias("m")).first()["m"] or []
+    splits = [float("-inf"), *sorted({m for m in marks if np.isfinite(m)}), float("inf")]
+    marked = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(counted)
     totals = marked.groupBy("_b").agg(F.sum("_c").alias("_s"))
     # at most ``buckets`` rows
     offsets = totals.select(
