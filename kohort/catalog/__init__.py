@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-SECTIONS = ["reports", "fields", "joins", "statistics", "folding", "similarity", "searching"]
+SECTIONS = ["reports", "fields", "joins", "statistics", "folding", "similarity", "searching", "preparing", "learning"]
 for section in SECTIONS:
     import_module(f"{__name__}.{section}")
 
