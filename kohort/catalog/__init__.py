@@ -6,7 +6,18 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-SECTIONS = ["reports", "fields", "joins", "statistics", "folding", "similarity", "searching", "preparing", "learning"]
+SECTIONS = [
+    "reports",
+    "fields",
+    "joins",
+    "statistics",
+    "folding",
+    "similarity",
+    "sources",
+    "preparing",
+    "learning",
+    "searching",
+]
 for section in SECTIONS:
     import_module(f"{__name__}.{section}")
 

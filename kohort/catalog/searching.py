@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import search
+from ..operators import linear, search
+from ..plans import leaderboard as boards
+from ..plans.experiments import Pipeline, pca_step
 from . import views as V
 from .registry import query
 
@@ -35,3 +37,15 @@ def dedupe_candidates(spark, d):
     known = pipelines.where("generation < 4 AND candidate % 40 = 1")
     fresh = pipelines.where("generation = 4").select("pipeline", "candidate")
     return search.dedupe_candidates(fresh, known, "pipeline", "candidate")
+
+
+@query("leaderboard")
+def leaderboard(spark, d):
+    # one component too few: a candidate that cannot be fitted stays on the board with -inf
+    broken = boards.Candidate("axes_0+least_squares", 2, Pipeline(linear.ols, [pca_step(0)]))
+    return boards.leaderboard(V.features(spark, d), [*boards.default_candidates(), broken])
+
+
+@query("holdout_leaderboard")
+def holdout_leaderboard(spark, d):
+    return boards.holdout_leaderboard(V.features(spark, d), boards.default_candidates())

@@ -132,6 +132,8 @@ def select_fwe(df: DataFrame, alpha: float = 0.05, x: str = "x", y: str = "age")
 
 def fit_pca(m: Moments, components: float | int) -> tuple[Affine, np.ndarray]:
     """Centred principal axes and their variance shares; a fraction keeps the fewest axes exceeding it."""
+    if components <= 0:
+        raise ValueError("a projection needs at least one axis")
     values, vectors = np.linalg.eigh(m.sxx)
     order = np.argsort(values)[::-1]
     values, vectors = np.maximum(values[order], 0), vectors[:, order]

@@ -44,6 +44,7 @@ class Pipeline:
 
 
 def pca_step(components: float | int) -> Step:
+    """Principal axes fitted on the training moments."""
     return lambda m: prep.fit_pca(m, components)[0]
 
 
