@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import linkage, stats
 from ..functions import scalars as S
+from ..session import cut_lineage
 from . import views as V
 from .registry import query
 
@@ -31,7 +32,7 @@ LONG_X = """SELECT 'x' || p AS "column", CAST(embedding[p + 1] AS DOUBLE) AS val
 
 def wide_features(spark, d):
     f = V.features(spark, d)
-    return f.select("age", *[F.col("x")[i].alias(f"x{i}") for i in range(64)])
+    return f.selectExpr("age", *[f"x[{i}] AS x{i}" for i in range(64)])
 
 
 @query(
@@ -208,7 +209,9 @@ def uncertainty(spark, d):
     "predictions",
 )
 def spearman_bias(spark, d):
-    return stats.spearman_bias(V.predictions(spark, d)).select(V.r6("rho", "rho"), "n")
+    # ranking reads its input several times: the joined view is written once, two columns wide
+    rows = cut_lineage(V.predictions(spark, d).select("age", "prediction"))
+    return stats.spearman_bias(rows).select(V.r6("rho", "rho"), "n")
 
 
 @query(

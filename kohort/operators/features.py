@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import list_array, matrix, sum_arrays
+from .arrays import collect_sum, list_array, matrix, sum_arrays
 from .folds import shuffle_key
 from .linear import ols
 from .moments import Moments, collect_moments, total
@@ -159,6 +159,7 @@ def fast_ica(
     white = Affine(base.center, base.weights / np.sqrt(np.maximum(np.diag(projected), 1e-300)))
     k = white.weights.shape[1]
     rows = df.select(F.col(x).alias("x")).persist()
+    parts = rows.rdd.getNumPartitions()
 
     def decorrelate(w: np.ndarray) -> np.ndarray:
         u, _, v = np.linalg.svd(w, full_matrices=False)
@@ -179,7 +180,7 @@ def fast_ica(
                         sums[k] += (1 - g * g).sum(0)
                 yield pa.RecordBatch.from_arrays([list_array(sums.reshape(1, -1))], names=["s"])
 
-            sums = np.asarray(sum_arrays(rows.mapInArrow(partial, "s array<double>"), "s").first()["s"]).reshape(k + 1, k)
+            sums = collect_sum(rows.mapInArrow(partial, "s array<double>"), "s", parts).reshape(k + 1, k)
             new = decorrelate(sums[:k] / m.n - (sums[k] / m.n)[:, None] * w)
             moved = np.abs(np.abs((new * w).sum(1)) - 1).max()
             w = new

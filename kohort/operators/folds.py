@@ -26,11 +26,8 @@ def _assign(
     keyed = df.withColumn("_key", key)
     cuts = order_statistics(keyed, "_key", starts, by, tie=id_col, levels=levels)
     cuts = cuts.groupBy(*by).agg(F.collect_list(F.struct("value", "tie")).alias("cuts"))
-    if by:
-        # a group smaller than two rows has no cut
-        placed = keyed.join(cuts, by, "left")
-    else:
-        placed = attach(keyed, cuts, by, "cuts")
+    # a group smaller than two rows has no cut
+    placed = attach(keyed, cuts, by, "cuts", "left")
     me = F.struct(F.col("_key").alias("value"), F.col(id_col).alias("tie"))
     passed = F.size(F.filter(F.coalesce("cuts", F.array().cast(cuts.schema["cuts"].dataType)), lambda c: c <= me))
     return placed.withColumn(out, passed.cast("int")).drop("_key", "cuts")

@@ -1,8 +1,9 @@
 """Joins on subject keys and lookups of small per-model and per-site tables.
 
 No join here carries a broadcast hint: Spark broadcasts a side only when its measured
-size is below ``spark.sql.autoBroadcastJoinThreshold`` (at planning time or, with
-adaptive execution, at run time) and splits skewed sort-merge partitions otherwise.
+size is below ``spark.sql.autoBroadcastJoinThreshold`` and splits skewed sort-merge
+partitions otherwise. Lookup tables derived by aggregation are settled first, which gives
+them a measured size, so that predictions are never shuffled by model or site.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 
 def join_tables(tables: list[DataFrame], key: str) -> DataFrame:
     """Inner equi-join chain; every table is shuffled once, on the same key."""
@@ -74,11 +77,11 @@ def first_error_per_model(errors: DataFrame, order: Column | None = None) -> Dat
 
 
 def lookup_model_error(predictions: DataFrame, errors: DataFrame) -> DataFrame:
-    return predictions.join(first_error_per_model(errors), "model")
+    return predictions.join(settle(first_error_per_model(errors)), "model")
 
 
 def lookup_site_range(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    return rows.join(ranges.select("site", "min_age", "max_age"), "site", "left")
+    return rows.join(settle(ranges.select("site", "min_age", "max_age")), "site", "left")
 
 
 def common_subjects(errors: DataFrame, models: list[str], value: str = "error") -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 GRID = 1000
 ACCURACY = 20 * GRID
 
@@ -27,10 +29,14 @@ def quantile_marks(value: str, grid: int, accuracy: int) -> Column:
     return F.expr(f"percentile_approx({value}, array({marks}), {accuracy})")
 
 
-def attach(rows: DataFrame, small: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Add column ``name`` of ``small`` (one row per ``by`` group) to every row."""
+def attach(rows: DataFrame, small: DataFrame, by: list[str], name: str, how: str = "inner") -> DataFrame:
+    """Add column ``name`` of ``small`` (one row per ``by`` group) to every row.
+
+    The rows themselves are not shuffled: a grouped table is settled, so Spark can broadcast
+    it, and an ungrouped one is a scalar subquery.
+    """
     if by:
-        return rows.join(small.select(*by, name), by)
+        return rows.join(settle(small.select(*by, name)), by, how)
     return rows.withColumn(name, small.select(name).scalar())
 
 
@@ -123,23 +129,27 @@ def exact_quantiles(
     return stats.select(*by, "n", F.array(*quantiles).alias("q"))
 
 
-def average_ranks(rows: DataFrame, value: str, rank: str, buckets: int = 256) -> DataFrame:
-    """Add the 1-based average rank of ``value`` (ties share their mean rank).
+def rank_table(rows: DataFrame, value: str, rank: str, buckets: int = 256) -> DataFrame:
+    """(value, rank): the 1-based average rank of every distinct value (ties share their mean rank).
 
-    Ranks are worked out on distinct values with their counts: quantile marks split the
-    value axis into ``buckets``, each bucket is cumulated on its own and shifted by the
-    total below it. A value held by a third of the rows is a single counted row here.
+    Quantile marks split the value axis into ``buckets``; each bucket is cumulated on its own
+    and shifted by the total below it. A value held by a third of the rows is a single
+    counted row here.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    marks = counted.select(quantile_marks("_v", buckets, 10 * buckets).alias("m")).first()["m"] or []
+    values = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
+    # a sketch over the rows merges map-side, without the shuffle that counting needs
+    marks = values.select(quantile_marks("_v", buckets, 10 * buckets).alias("m")).first()["m"] or []
+    counted = values.groupBy("_v").agg(F.count("*").alias("_c"))
     splits = [float("-inf"), *sorted({m for m in marks if np.isfinite(m)}), float("inf")]
     marked = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(counted)
     totals = marked.groupBy("_b").agg(F.sum("_c").alias("_s"))
     # at most ``buckets`` rows
-    offsets = totals.select(
-        "_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_o")
-    )
+    offsets = totals.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_o"))
     w = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = marked.join(offsets, "_b").withColumn("_u", F.col("_o") + F.sum("_c").over(w))
-    ranked = ranked.select(F.col("_v").alias(value), (F.col("_u") - (F.col("_c") - 1) / 2.0).alias(rank))
-    return rows.join(ranked, value)
+    return ranked.select(F.col("_v").alias(value), (F.col("_u") - (F.col("_c") - 1) / 2.0).alias(rank))
+
+
+def average_ranks(rows: DataFrame, value: str, rank: str, buckets: int = 256) -> DataFrame:
+    """Add the average rank of ``value``; rows without a value drop out."""
+    return rows.join(rank_table(rows, value, rank, buckets), value)

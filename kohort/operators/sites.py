@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
+from ..session import settle
 from .linear import ridge
 from .moments import Moments, first_row_shift, moment_sums
 
@@ -29,6 +30,6 @@ def per_site_models(df: DataFrame, alpha: float = 1.0, site: str = "site", x: st
 
 def per_site_ridge(df: DataFrame, alpha: float = 1.0, site: str = "site", x: str = "x", y: str = "age") -> DataFrame:
     """Rows with the prediction of their own site's model."""
-    models = per_site_models(df, alpha, site, x, y)
+    models = settle(per_site_models(df, alpha, site, x, y))
     scored = df.join(models, site).withColumn("prediction", dot(F.col(x), F.col("coef")) + F.col("intercept"))
     return scored.drop("intercept", "coef")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import abs_error
 from .arrays import list_array, matrix, sum_arrays
-from .ranks import average_ranks, exact_quantiles
+from .ranks import exact_quantiles, rank_table
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -29,7 +29,8 @@ def summary_stats(df: DataFrame, column: str) -> DataFrame:
 
 def long_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value) rows of numeric columns."""
-    return df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    doubles = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns])
+    return doubles.unpivot([], columns, "column", "value")
 
 
 def describe_all(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -59,8 +60,9 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     and M'M hold every pair's sums, so no pair needs an aggregate of its own.
     """
     d = len(columns)
-    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns])
-    head = df.select(*[F.any_value(c, True).cast("double").alias(c) for c in columns]).first()
+    values = F.expr("array(" + ", ".join(f"coalesce(CAST(`{c}` AS DOUBLE), double('NaN'))" for c in columns) + ")")
+    # some row: subtracting it keeps the sums free of cancellation
+    head = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE)" for c in columns]).first() or [None] * d
     shift = np.array([v if v is not None and np.isfinite(v) else 0.0 for v in head])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +164,9 @@ def uncertainty(used: DataFrame) -> DataFrame:
 def spearman_bias(predictions: DataFrame) -> DataFrame:
     """Spearman correlation of (age - prediction) with age."""
     rows = predictions.select("age", (F.col("age") - F.col("prediction")).alias("residual"))
-    ranked = average_ranks(average_ranks(rows, "age", "rank_age"), "residual", "rank_residual")
+    rows = rows.where("age IS NOT NULL AND residual IS NOT NULL")
+    ranks = [rank_table(rows, "age", "rank_age"), rank_table(rows, "residual", "rank_residual")]
+    ranked = rows.join(ranks[0], "age").join(ranks[1], "residual")
     return ranked.agg(F.corr("rank_residual", "rank_age").alias("rho"), F.count("*").alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import abs_error, clip_to_range, round_half_even, weight_from_mae
 from ..operators.linkage import common_subjects, exactly_one_match, lookup_model_error, lookup_site_range
 from ..operators.stats import median_across_models
+from ..session import settle
 
 
 def ensemble(
@@ -62,7 +63,7 @@ def bias_lines(train: DataFrame) -> DataFrame:
 def bias_correct(train: DataFrame, test: DataFrame) -> DataFrame:
     """Subtract each model's fitted bias, evaluated at the prediction itself."""
     corrected = F.col("prediction") - (F.col("intercept") + F.col("slope") * F.col("prediction"))
-    return test.join(bias_lines(train), "model").withColumn("prediction", corrected).drop("slope", "intercept")
+    return test.join(settle(bias_lines(train)), "model").withColumn("prediction", corrected).drop("slope", "intercept")
 
 
 def ensemble_bias_corrected(

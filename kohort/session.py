@@ -22,6 +22,8 @@ def get_spark(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
         # per-column sketches open one group per column, more than the default of 128
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
+        # no call-site capture per expression: plans of wide tables build several times faster
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -42,6 +44,16 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def settle(small: DataFrame) -> DataFrame:
+    """Write a derived lookup table and read it back, so that its size is known before it is joined.
+
+    Read from files it is broadcast when smaller than ``spark.sql.autoBroadcastJoinThreshold``;
+    beyond that Spark falls back to a sort-merge join. Left as a plan of unknown size it would
+    have made Spark shuffle the large side by a site or model key, of which there are few.
+    """
+    return cut_lineage(small)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written table.
 

@@ -123,7 +123,7 @@ def write_array_files(
             for subject, x, shape in zip(part["subject_id"], part["x"], part["shape"]):
                 content = encode(np.asarray(x).reshape(shape))
                 path = f"{root}/{subject}{suffix}"
-                with files.open_output_stream(path) as out:
+                with files.open_output_stream(path, compression=None) as out:
                     out.write(content)
                 done.append((path, len(content)))
             yield pd.DataFrame(done, columns=["path", "bytes"])
