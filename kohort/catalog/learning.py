@@ -233,3 +233,60 @@ def fit_predict_holdout(spark, d):
     f = V.features(spark, d)
     out = X.fit_predict_holdout(f.where("position % 4 <> 0"), f.where("position % 4 = 0"), ridge_pipeline(1.0))
     return out.select("subject_id", V.r6("prediction", "prediction"))
+
+
+@query(
+    "fit_predict_holdout_line",
+    """SELECT f.subject_id, round(my + (f.x[1] - mx) * sxy / (sxx + 1), 6) AS prediction FROM features f,
+       (SELECT avg(x[1]) AS mx, avg(age) AS my, regr_sxx(age, x[1]) AS sxx, regr_sxy(age, x[1]) AS sxy FROM features
+        WHERE position % 4 <> 0) WHERE position % 4 = 0""",
+    "features",
+)
+def fit_predict_holdout_line(spark, d):
+    f = V.features(spark, d).withColumn("x", F.slice("x", 1, 1))
+    out = X.fit_predict_holdout(f.where("position % 4 <> 0"), f.where("position % 4 = 0"), ridge_pipeline(1.0))
+    return out.select("subject_id", V.r6("prediction", "prediction"))
+
+
+@query(
+    "per_site_ridge_line",
+    """SELECT f.subject_id, f.site, f.age, round(my + (f.x[1] - mx) * sxy / (sxx + 1), 6) AS prediction FROM features f JOIN
+       (SELECT site, avg(x[1]) AS mx, avg(age) AS my, regr_sxx(age, x[1]) AS sxx, regr_sxy(age, x[1]) AS sxy FROM features
+        GROUP BY site) m ON m.site = f.site""",
+    "features",
+)
+def per_site_ridge_line(spark, d):
+    from ..operators.sites import per_site_ridge as fit
+
+    one = V.features(spark, d).withColumn("x", F.slice("x", 1, 1))
+    return fit(one, 1.0).select("subject_id", "site", "age", V.r6("prediction", "prediction"))
+
+
+# outer folds by hash, inner folds contiguous among the outer training rows, alpha by weighted inner error
+NESTED = {
+    "folded": FOLDED.replace("SELECT subject_id, age,", "SELECT subject_id, age, position,"),
+    "heads": "SELECT DISTINCT fold AS o FROM folded",
+    "training": """SELECT h.o, t.*, ntile(5) OVER (PARTITION BY h.o ORDER BY t.position) AS i
+        FROM heads h JOIN folded t ON t.fold <> h.o""",
+    "grid": "SELECT * FROM (VALUES (1), (10), (100)) a(alpha)",
+    "inner_fits": """SELECT o, held, avg(v) AS mx, avg(age) AS my, regr_sxx(age, v) AS sxx, regr_sxy(age, v) AS sxy
+        FROM training JOIN (SELECT range AS held FROM range(1, 6)) r ON r.held <> training.i GROUP BY o, held""",
+    "scores": """SELECT t.o, alpha, avg(abs(t.age - (my + (t.v - mx) * sxy / (sxx + alpha)))) AS mae
+        FROM training t JOIN inner_fits m ON m.o = t.o AND m.held = t.i, grid GROUP BY t.o, alpha""",
+    "best": "SELECT o, arg_min(alpha, mae) AS alpha FROM scores GROUP BY o",
+    "fits": """SELECT o, avg(v) AS mx, avg(age) AS my, regr_sxx(age, v) AS sxx, regr_sxy(age, v) AS sxy
+        FROM training GROUP BY o""",
+}
+
+
+@query(
+    "nested_cv_line",
+    """SELECT f.subject_id, f.age, f.fold, round(my + (f.v - mx) * sxy / (sxx + b.alpha), 6) AS prediction
+       FROM folded f JOIN fits m ON m.o = f.fold JOIN best b ON b.o = f.fold""",
+    "features",
+    extra=NESTED,
+)
+def nested_cv_line(spark, d):
+    one = V.features(spark, d).withColumn("x", F.slice("x", 1, 1))
+    out, _ = X.nested_cv(one, ALPHAS, ridge_pipeline)
+    return out.select("subject_id", "age", "fold", V.r6("prediction", "prediction"))

@@ -55,7 +55,23 @@ def impute_median(spark, d):
     return long.select("subject_id", "column", V.r6("value", "value"))
 
 
-@query("oversample_minority")
+HASH = "CAST('0x' || substr(md5('0:' || {}), 1, 13) AS BIGINT)"
+
+
+@query(
+    "oversample_minority",
+    f"""SELECT subject_id, label, age, CAST(0 AS BIGINT) AS copy FROM labelled UNION ALL
+        SELECT m.subject_id, m.label, m.age, i + 1 AS copy FROM
+          (SELECT *, row_number() OVER (ORDER BY {HASH.format("subject_id")}) - 1 AS j FROM labelled
+           WHERE label = (SELECT label FROM counts ORDER BY n, label LIMIT 1)) m
+        JOIN (SELECT range AS i, {HASH.format("range")} % (SELECT min(n) FROM counts) AS j
+              FROM range((SELECT max(n) - min(n) FROM counts))) d ON d.j = m.j""",
+    "features",
+    extra={
+        "labelled": "SELECT subject_id, site AS label, age FROM features",
+        "counts": "SELECT label, count(*) AS n FROM labelled GROUP BY label",
+    },
+)
 def oversample_minority(spark, d):
     labelled = V.features(spark, d).withColumn("label", F.col("site")).select("subject_id", "label", "age")
     return prep.oversample_minority(labelled)

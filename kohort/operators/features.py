@@ -326,8 +326,8 @@ def oversample_minority(df: DataFrame, label: str = "label", id_col: str = "subj
     extra = most - small["n"]
     minority = df.where(F.col(label) == small[label]).withColumn("_k", shuffle_key(F.col(id_col), seed))
     numbered = average_ranks(minority, "_k", "_r").withColumn("_j", F.floor("_r").cast("bigint")).drop("_k", "_r")
-    draws = df.sparkSession.range(extra).select(
-        (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(small["n"])) + 1).alias("_j"), (F.col("id") + 1).alias("copy")
-    )
+    # draw i takes minority row number hash(i) mod n
+    draw = F.pmod(shuffle_key(F.col("id"), seed).cast("bigint"), F.lit(small["n"])) + 1
+    draws = df.sparkSession.range(extra).select(draw.alias("_j"), (F.col("id") + 1).alias("copy"))
     copies = numbered.join(draws, "_j").drop("_j")
     return df.withColumn("copy", F.lit(0).cast("bigint")).unionByName(copies)

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 
 
+# differences held at once while one block meets another
+SLICE_VALUES = 1 << 22
+
+
 def nearest(
     queries: DataFrame, train: DataFrame, k: int = 5, p: int = 2, id_col: str = "subject_id", block_rows: int = 1024
 ) -> DataFrame:
@@ -42,8 +46,9 @@ def nearest(
         a, b = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
         take = min(k, len(b))
         out = []
-        for start in range(0, len(a), 64):
-            gap = np.abs(a[start : start + 64, None, :] - b[None, :, :])
+        few = max(1, SLICE_VALUES // b.size)
+        for start in range(0, len(a), few):
+            gap = np.abs(a[start : start + few, None, :] - b[None, :, :])
             distance = gap.sum(-1) if p == 1 else np.sqrt((gap * gap).sum(-1))
             order = np.argsort(distance, axis=1, kind="stable")[:, :take]
             out.append((order, np.take_along_axis(distance, order, 1)))

@@ -116,7 +116,8 @@ def write_array_files(
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, root = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        uri = folder.replace("s3a://", "s3://", 1) if ":" in folder else f"file://{folder}"
+        files, root = pafs.FileSystem.from_uri(uri)
         files.create_dir(root, recursive=True)
         for part in parts:
             done = []
