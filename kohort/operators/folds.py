@@ -21,10 +21,10 @@ def fold_starts(n: Column, k: int) -> Column:
 
 
 def _assign(
-    df: DataFrame, key: Column, id_col: str, starts, by: list[str], out: str, levels: int = 1
+    df: DataFrame, key: Column, id_col: str, starts, by: list[str], out: str, **options
 ) -> DataFrame:
     keyed = df.withColumn("_key", key)
-    cuts = order_statistics(keyed, "_key", starts, by, tie=id_col, levels=levels)
+    cuts = order_statistics(keyed, "_key", starts, by, tie=id_col, **options)
     cuts = cuts.groupBy(*by).agg(F.collect_list(F.struct("value", "tie")).alias("cuts"))
     # a group smaller than two rows has no cut
     placed = attach(keyed, cuts, by, "cuts", "left")

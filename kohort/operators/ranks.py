@@ -21,6 +21,8 @@ from ..session import settle
 
 GRID = 1000
 ACCURACY = 20 * GRID
+BAND_ROWS = 1_000_000
+MAX_ROUNDS = 6
 
 
 def quantile_marks(value: str, grid: int, accuracy: int) -> Column:
@@ -47,58 +49,70 @@ def order_statistics(
     by: list[str] | None = None,
     tie: str | None = None,
     grid: int = GRID,
-    levels: int = 1,
+    band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """Values at given 0-based ranks, per group.
 
     ``targets(n)`` maps the row count of a group to an array of ranks (bigint). The
     result has one row per (``by``, ``rank``) with ``n``, ``value`` and, if asked for,
-    ``tie``, which orders equal values. Each level narrows the band to about 3/grid of
-    its rows; one level suits up to 1e9 rows per group, two go beyond.
+    ``tie``, which orders equal values. Bands are narrowed, each round to about 5/grid of
+    the rows before, until none holds more than ``band_rows``.
     """
     by = by or []
     rows = rows.select(*by, F.col(value).cast("double").alias("_v"), *([F.col(tie).alias("_t")] if tie else []))
     rows = rows.where("_v IS NOT NULL")
     accuracy = ACCURACY * grid // GRID
 
-    def band(base: Column, rank: Column, n: Column, marks: Column) -> list[Column]:
-        """Grid marks that surely enclose ``rank - base`` of ``n``."""
+    def band(rank: Column, base: Column, n: Column, marks: Column) -> Column:
+        """Grid marks that surely enclose row ``rank - base`` of ``n``."""
         at = (rank - base) / n * grid
         low = F.greatest(F.floor(at).cast("int") - 2, F.lit(0))
         high = F.least(F.ceil(at + grid / n).cast("int") + 2, F.lit(grid))
-        return [F.get(marks, low).alias("low"), F.get(marks, high).alias("high")]
-
-    sized = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), quantile_marks("_v", grid, accuracy).alias("marks")
-    )
-    wanted = sized.withColumn("rank", F.explode(F.array_distinct(targets(F.col("n")))))
-    wanted = wanted.where((F.col("rank") >= 0) & (F.col("rank") < F.col("n")))
-    wanted = wanted.select(*by, "n", "rank", *band(F.lit(0), F.col("rank"), F.col("n"), F.col("marks")))
-
-    def inside(wanted: DataFrame) -> DataFrame:
-        packed = F.collect_list(F.struct("n", "rank", "low", "high")).alias("w")
-        found = attach(rows, wanted.groupBy(*by).agg(packed), by, "w")
-        found = found.withColumn("w", F.explode("w"))
-        return found.select(*by, "w.*", *[c for c in ("_v", "_t") if c in rows.columns]).where("_v <= high")
+        return F.struct(
+            rank.alias("rank"),
+            F.get(marks, low).alias("low"),
+            F.get(marks, high).alias("high"),
+            ((high - low) * n / grid).alias("width"),
+        )
 
-    for _ in range(levels - 1):
-        inner = inside(wanted).withColumn("_in", F.when(F.col("_v") >= F.col("low"), F.col("_v")))
+    def inside(bands: DataFrame) -> DataFrame:
+        """One row per input row and target that does not lie above the target's band."""
+        if by:
+            found = rows.join(bands, by)
+        else:
+            found = rows.withColumn("_g", bands.select(F.struct("n", "w").alias("_g")).scalar())
+            found = found.select("*", "_g.*").drop("_g")
+        found = found.withColumn("w", F.explode("w"))
+        columns = [c for c in ("_v", "_t") if c in rows.columns]
+        return found.select(*by, "n", "w.rank", "w.low", "w.high", *columns).where("_v <= high")
+
+    sized = rows.groupBy(*by).agg(F.count("*").alias("n"), quantile_marks("_v", grid, accuracy).alias("marks"))
+    ranks = F.filter(F.array_distinct(targets(F.col("n"))), lambda r: (r >= 0) & (r < F.col("n")))
+    w = F.transform(ranks, lambda r: band(r, F.lit(0), F.col("n"), F.col("marks")))
+    bands = settle(sized.select(*by, "n", w.alias("w")))
+    for _ in range(MAX_ROUNDS):
+        widths = F.transform("w", lambda b: F.when(b["low"] < b["high"], b["width"]))
+        widest = bands.agg(F.max(F.array_max(widths))).first()[0]
+        if widest is None or widest <= band_rows:
+            break
+        inner = inside(bands).withColumn("_in", F.when(F.col("_v") >= F.col("low"), F.col("_v")))
         inner = inner.groupBy(*by, "n", "rank").agg(
             F.count_if(F.col("_in").isNull()).alias("base"),
             F.count("_in").alias("m"),
             quantile_marks("_in", grid, accuracy).alias("marks"),
         )
-        wanted = inner.select(*by, "n", "rank", *band(F.col("base"), F.col("rank"), F.col("m"), F.col("marks")))
+        narrow = band(F.col("rank"), F.col("base"), F.col("m"), F.col("marks"))
+        bands = settle(inner.groupBy(*by, "n").agg(F.collect_list(narrow).alias("w")))
 
     below = F.col("_v") < F.col("low")
     keys = [F.when(~below, F.col("_v")).alias("value")]
     if tie:
         keys.append(F.when(~below, F.col("_t")).alias("tie"))
-    counted = inside(wanted).groupBy(*by, "n", "rank", *keys).agg(F.count("*").alias("c"))
+    counted = inside(bands).groupBy(*by, "n", "rank", *keys).agg(F.count("*").alias("c"))
     # one window partition per wanted rank, holding the distinct values of its band
     order = [F.col("value").asc_nulls_first()] + ([F.col("tie").asc_nulls_first()] if tie else [])
-    w = Window.partitionBy(*by, "rank").orderBy(*order)
-    placed = counted.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    line = Window.partitionBy(*by, "rank").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("upto", F.sum("c").over(line))
     hit = placed.where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
     return hit.select(*by, "n", "rank", "value", *(["tie"] if tie else []))
 
