@@ -25,10 +25,18 @@ def _assign(
 ) -> DataFrame:
     keyed = df.withColumn("_key", key)
     cuts = order_statistics(keyed, "_key", starts, by, tie=id_col, **options)
-    cuts = cuts.groupBy(*by).agg(F.collect_list(F.struct("value", "tie")).alias("cuts"))
+    me = F.struct(F.col("_key").alias("value"), F.col(id_col).alias("tie"))
+    if not by:
+        # k - 1 literals, evaluated once; assigning folds is then a projection
+        kind = df.schema[id_col].dataType
+        passed = F.lit(0)
+        for cut in cuts.collect():
+            start = F.struct(F.lit(cut["value"]).alias("value"), F.lit(cut["tie"]).cast(kind).alias("tie"))
+            passed = passed + F.when(start <= me, 1).otherwise(0)
+        return keyed.withColumn(out, passed).drop("_key")
     # a group smaller than two rows has no cut
+    cuts = cuts.groupBy(*by).agg(F.collect_list(F.struct("value", "tie")).alias("cuts"))
     placed = attach(keyed, cuts, by, "cuts", "left")
-    me = F.struct(F.col("_key").alias("value"), F.col(id_col).alias("tie"))
     passed = F.size(F.filter(F.coalesce("cuts", F.array().cast(cuts.schema["cuts"].dataType)), lambda c: c <= me))
     return placed.withColumn(out, passed.cast("int")).drop("_key", "cuts")
 

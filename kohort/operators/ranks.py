@@ -42,6 +42,13 @@ def attach(rows: DataFrame, small: DataFrame, by: list[str], name: str, how: str
     return rows.withColumn(name, small.select(name).scalar())
 
 
+def hold(bands: DataFrame, by: list[str]) -> DataFrame:
+    """Evaluate a per-group table once: written when grouped, a local row when there is one group."""
+    if by:
+        return settle(bands)
+    return bands.sparkSession.createDataFrame(bands.collect(), bands.schema)
+
+
 def order_statistics(
     rows: DataFrame,
     value: str,
@@ -89,11 +96,10 @@ def order_statistics(
     sized = rows.groupBy(*by).agg(F.count("*").alias("n"), quantile_marks("_v", grid, accuracy).alias("marks"))
     ranks = F.filter(F.array_distinct(targets(F.col("n"))), lambda r: (r >= 0) & (r < F.col("n")))
     w = F.transform(ranks, lambda r: band(r, F.lit(0), F.col("n"), F.col("marks")))
-    bands = settle(sized.select(*by, "n", w.alias("w")))
+    bands = hold(sized.select(*by, "n", w.alias("w")), by)
     for _ in range(MAX_ROUNDS):
         widths = F.transform("w", lambda b: F.when(b["low"] < b["high"], b["width"]))
-        widest = bands.agg(F.max(F.array_max(widths))).first()[0]
-        if widest is None or widest <= band_rows:
+        if bands.where(F.array_max(widths) > band_rows).isEmpty():
             break
         inner = inside(bands).withColumn("_in", F.when(F.col("_v") >= F.col("low"), F.col("_v")))
         inner = inner.groupBy(*by, "n", "rank").agg(
@@ -102,7 +108,7 @@ def order_statistics(
             quantile_marks("_in", grid, accuracy).alias("marks"),
         )
         narrow = band(F.col("rank"), F.col("base"), F.col("m"), F.col("marks"))
-        bands = settle(inner.groupBy(*by, "n").agg(F.collect_list(narrow).alias("w")))
+        bands = hold(inner.groupBy(*by, "n").agg(F.collect_list(narrow).alias("w")), by)
 
     below = F.col("_v") < F.col("low")
     keys = [F.when(~below, F.col("_v")).alias("value")]

@@ -62,4 +62,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = work_folder(df.sparkSession) + "/stage"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
