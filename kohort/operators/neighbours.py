@@ -6,13 +6,14 @@ queries x k, never all pairs; a second aggregate merges the block winners.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gram import blocks_needed
+
 
 
 # differences held at once while one block meets another
@@ -20,10 +21,16 @@ SLICE_VALUES = 1 << 22
 
 
 def nearest(
-    queries: DataFrame, train: DataFrame, k: int = 5, p: int = 2, id_col: str = "subject_id", block_rows: int = 1024
+    queries: DataFrame,
+    train: DataFrame,
+    k: int = 5,
+    p: int = 2,
+    id_col: str = "subject_id",
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(query, neighbour, y, distance), the k nearest training rows of each query, ties by id."""
-    sizes = [max(1, math.ceil(side.count() / block_rows)) for side in (queries, train)]
+    d = len((train.select("x").first() or [[]])[0])
+    sizes = [blocks_needed(side.count(), d, d, block_rows) for side in (queries, train)]
 
     def spread(side: DataFrame, is_query: bool) -> DataFrame:
         own, other = sizes if is_query else sizes[::-1]

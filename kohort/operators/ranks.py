@@ -10,11 +10,12 @@ are shuffled and the rows themselves never move.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
@@ -42,11 +43,16 @@ def attach(rows: DataFrame, small: DataFrame, by: list[str], name: str, how: str
     return rows.withColumn(name, small.select(name).scalar())
 
 
-def hold(bands: DataFrame, by: list[str]) -> DataFrame:
-    """Evaluate a per-group table once: written when grouped, a local row when there is one group."""
-    if by:
-        return settle(bands)
-    return bands.sparkSession.createDataFrame(bands.collect(), bands.schema)
+def band_literal(bands: list[Row]) -> Column:
+    """A few bands as one constant array."""
+
+    def number(v: float) -> str:
+        return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+
+    parts = [
+        f"named_struct('rank', {b['rank']}L, 'low', {number(b['low'])}, 'high', {number(b['high'])})" for b in bands
+    ]
+    return F.expr(f"array({', '.join(parts)})")
 
 
 def order_statistics(
@@ -82,13 +88,22 @@ def order_statistics(
             ((high - low) * n / grid).alias("width"),
         )
 
-    def inside(bands: DataFrame) -> DataFrame:
+    # per-group bands are written once and joined; those of a single group become constants
+    def hold(bands: DataFrame) -> DataFrame | Row | None:
+        return settle(bands) if by else bands.first()
+
+    def too_wide(bands: DataFrame | Row) -> bool:
+        if not by:
+            return any(b["low"] < b["high"] and b["width"] > band_rows for b in bands["w"])
+        widths = F.transform("w", lambda b: F.when(b["low"] < b["high"], b["width"]))
+        return not bands.where(F.array_max(widths) > band_rows).isEmpty()
+
+    def inside(bands: DataFrame | Row) -> DataFrame:
         """One row per input row and target that does not lie above the target's band."""
         if by:
             found = rows.join(bands, by)
         else:
-            found = rows.withColumn("_g", bands.select(F.struct("n", "w").alias("_g")).scalar())
-            found = found.select("*", "_g.*").drop("_g")
+            found = rows.withColumns({"n": F.lit(bands["n"]).cast("bigint"), "w": band_literal(bands["w"])})
         found = found.withColumn("w", F.explode("w"))
         columns = [c for c in ("_v", "_t") if c in rows.columns]
         return found.select(*by, "n", "w.rank", "w.low", "w.high", *columns).where("_v <= high")
@@ -96,10 +111,13 @@ def order_statistics(
     sized = rows.groupBy(*by).agg(F.count("*").alias("n"), quantile_marks("_v", grid, accuracy).alias("marks"))
     ranks = F.filter(F.array_distinct(targets(F.col("n"))), lambda r: (r >= 0) & (r < F.col("n")))
     w = F.transform(ranks, lambda r: band(r, F.lit(0), F.col("n"), F.col("marks")))
-    bands = hold(sized.select(*by, "n", w.alias("w")), by)
+    bands = hold(sized.select(*by, "n", w.alias("w")))
+    if not by and not bands["w"]:
+        fields = ["n bigint", "rank bigint", "value double"]
+        kind = [f"tie {rows.schema['_t'].dataType.simpleString()}"] if tie else []
+        return rows.sparkSession.createDataFrame([], ", ".join(fields + kind))
     for _ in range(MAX_ROUNDS):
-        widths = F.transform("w", lambda b: F.when(b["low"] < b["high"], b["width"]))
-        if bands.where(F.array_max(widths) > band_rows).isEmpty():
+        if not too_wide(bands):
             break
         inner = inside(bands).withColumn("_in", F.when(F.col("_v") >= F.col("low"), F.col("_v")))
         inner = inner.groupBy(*by, "n", "rank").agg(
@@ -108,7 +126,7 @@ def order_statistics(
             quantile_marks("_in", grid, accuracy).alias("marks"),
         )
         narrow = band(F.col("rank"), F.col("base"), F.col("m"), F.col("marks"))
-        bands = hold(inner.groupBy(*by, "n").agg(F.collect_list(narrow).alias("w")), by)
+        bands = hold(inner.groupBy(*by, "n").agg(F.collect_list(narrow).alias("w")))
 
     below = F.col("_v") < F.col("low")
     keys = [F.when(~below, F.col("_v")).alias("value")]
