@@ -1,6 +1,5 @@
 """Regressors, classifiers and experiments."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import linear, process, svr, trees
