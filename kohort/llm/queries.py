@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, token_counts
+from . import exact_dedup, licenses, token_counts, warc
 from .common import read
 
 ORACLES: dict[str, str] = {}
@@ -35,7 +35,18 @@ ORACLES["op2_exact_dedup"] = """
            doc_id = max(doc_id) OVER w AS kept, text_sha256
     FROM d WINDOW w AS (PARTITION BY text_sha256)"""
 
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_warc": op3_warc,
+    "op8_license_scan": op8_license_scan,
 }
