@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, token_counts, warc
+from . import exact_dedup, licenses, neighbours, packing, token_counts, warc
 from .common import read
 
 ORACLES: dict[str, str] = {}
@@ -44,9 +44,20 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
 
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_warc": op3_warc,
+    "op5_nearest": op5_nearest,
     "op8_license_scan": op8_license_scan,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
