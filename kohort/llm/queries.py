@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, neighbours, packing, quality, token_counts, warc
+from . import exact_dedup, licenses, mixing, neighbours, packing, quality, token_counts, warc
 from .common import read
 
 ORACLES: dict[str, str] = {}
@@ -58,10 +59,26 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+
+#: target weights of the domains of ``labels``: texts of quality that are not toxic, toxic ones, and poor ones
+DOMAIN_WEIGHTS = {"clean": 0.96, "toxic": 0.01, "poor": 0.03}
+
+
+def domain() -> Column:
+    """Position in DOMAIN_WEIGHTS of a row of ``labels``."""
+    return F.when(F.col("quality") == 0, 2).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 0)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return mixing.document_rates(mixing.fit_mix(docs, labels, domain(), DOMAIN_WEIGHTS, "clean"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_warc": op3_warc,
+    "op4_mixing": op4_mixing,
     "op5_nearest": op5_nearest,
     "op6_quality": op6_quality,
     "op8_license_scan": op8_license_scan,
