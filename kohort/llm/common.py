@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -109,7 +109,8 @@ def in_blocks(members: DataFrame, key: list[str], member: str, size: int) -> Dat
     Groups of one member are left out, as nobody meets there.
     """
     sizes = members.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
-    sizes = sizes.withColumn("_blocks", F.ceil(F.col("_n") / F.lit(size)).cast("int"))
+    # written, so that both sides of the join are shuffled and Spark can split the rows of a large group
+    sizes = stage(sizes.withColumn("_blocks", F.ceil(F.col("_n") / F.lit(size)).cast("int")))
     dealt = members.join(sizes, key).withColumn("block", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     dealt = dealt.withColumn("_other", other)
@@ -120,6 +121,46 @@ def in_blocks(members: DataFrame, key: list[str], member: str, size: int) -> Dat
     )
 
 
+def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterable[tuple]], schema: str) -> DataFrame:
+    """``work`` on the rows of each group, one after another in the tasks that hold the sorted groups.
+
+    For very many small groups: unlike a grouped map there is no hand-over per group. A group is held whole, so
+    its size must be bounded (see in_blocks). ``keys`` are long or int columns without nulls.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    types = [kinds[part.split()[1]] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last, out = None, []
+
+        def flush() -> None:
+            out.extend(work(pa.Table.from_batches(held)))
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys], axis=1)
+            cuts = [0, *(np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1).tolist(), len(columns)]
+            for a, b in zip(cuts, cuts[1:]):
+                key = tuple(columns[a])
+                if held and key != last:
+                    flush()
+                held.append(batch.slice(a, b - a))
+                last = key
+            if len(out) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                out = []
+        if held:
+            flush()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def long_array(rows: list[np.ndarray]) -> pa.ListArray:
     """A list<int64> column from 64-bit rows."""
     ends = np.zeros(len(rows) + 1, np.int32)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, neighbours, packing, quality, token_counts, warc
+from . import exact_dedup, jaccard, licenses, mixing, neighbours, packing, quality, token_counts, warc
 from .common import read
 
 ORACLES: dict[str, str] = {}
@@ -74,6 +74,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.document_rates(mixing.fit_mix(docs, labels, domain(), DOMAIN_WEIGHTS, "clean"))
 
 
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_nearest": op5_nearest,
     "op6_quality": op6_quality,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
