@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, licenses, mixing, neighbours, packing, quality, token_counts, warc
+from . import exact_dedup, jaccard, licenses, mixing, neighbours, packing, quality, quotations, token_counts, warc
 from .common import read
 
 ORACLES: dict[str, str] = {}
@@ -79,6 +79,63 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+
+def op10_quotation_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.chat(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op10_quotation_chat"] = r"""
+    WITH messages AS (
+        SELECT row_number() OVER () AS message, * FROM (
+            SELECT conv_id, turn, role, text, count(*) AS copies,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position
+            FROM conversations GROUP BY conv_id, turn, role, text)),
+    cut AS (SELECT message, conv_id, turn, string_split_regex(coalesce(text, ''), '\r?\n') AS lines FROM messages),
+    parsed AS (
+        SELECT message, conv_id, turn, pos, regexp_extract(line, '^((?:[ \t]*>)+)', 1) AS marks, line
+        FROM (SELECT message, conv_id, turn, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM cut)),
+    levels AS (
+        SELECT message, conv_id, turn, pos, length(translate(marks, chr(32) || chr(9), '')) AS level,
+               regexp_replace(line, '^((?:[ \t]*>)+) ?', '') AS content FROM parsed),
+    marked AS (
+        SELECT *, level <> lag(level) OVER w AS fresh, lead(level) OVER w AS next_level
+        FROM levels WINDOW w AS (PARTITION BY message ORDER BY pos)),
+    kept AS (
+        SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY message ORDER BY pos) AS run,
+               level = 0 AND next_level > 0 AND regexp_matches(content, '(?i)(wrote|schrieb|écrit|escribió)[ \t]*:[ \t]*$') AS announces
+        FROM marked),
+    runs AS (
+        SELECT message, conv_id, turn, run, any_value(level) AS level,
+               coalesce(string_agg(content, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(announces, false)), '') AS content
+        FROM kept GROUP BY message, conv_id, turn, run),
+    bodies AS (
+        SELECT message, any_value(conv_id) AS conv_id, any_value(turn) AS turn,
+               regexp_replace(coalesce(string_agg(content, chr(10) ORDER BY run) FILTER (WHERE level = 0), ''), '^\s+|\s+$', '', 'g') AS body,
+               count(*) FILTER (WHERE level > 0) AS n_quotes
+        FROM runs GROUP BY message),
+    texts AS (
+        SELECT message, conv_id, turn, run, level, content FROM runs
+        UNION ALL SELECT message, conv_id, turn, run, level, content FROM kept WHERE NOT coalesce(announces, false)
+        UNION ALL SELECT message, conv_id, turn, -1, 0, body FROM bodies),
+    units AS (
+        SELECT DISTINCT message, conv_id, turn, run, level,
+               trim(regexp_replace(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n]+', ' ', 'g')) AS unit
+        FROM texts),
+    originals AS (
+        SELECT conv_id, unit, min(turn) AS original FROM units WHERE level = 0 AND unit <> '' AND turn IS NOT NULL GROUP BY conv_id, unit),
+    found AS (
+        SELECT u.message, u.level, u.run, u.unit, o.original FROM units u
+        JOIN originals o ON u.conv_id IS NOT DISTINCT FROM o.conv_id AND u.unit = o.unit AND o.original < u.turn
+        WHERE u.level > 0 AND u.unit <> ''),
+    scored AS (SELECT message, level, original, sum(length(unit)) AS size FROM found GROUP BY message, level, original),
+    best AS (SELECT message, arg_max(original, {'a': -level, 'b': size, 'c': original}) AS reply_to FROM scored GROUP BY message),
+    linked AS (SELECT message, count(DISTINCT run) AS n_linked FROM found GROUP BY message)
+    SELECT m.conv_id, m.position, m.turn, coalesce(m.role, 'unknown') AS role, b.body, best.reply_to, b.n_quotes,
+           coalesce(linked.n_linked, 0) AS n_linked, m.copies,
+           '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || b.body || chr(10) || '<|end|>' AS chat
+    FROM messages m JOIN bodies b USING (message) LEFT JOIN best USING (message) LEFT JOIN linked USING (message)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
@@ -89,4 +146,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_quotation_chat": op10_quotation_chat,
 }
