@@ -30,6 +30,17 @@ def stage(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def beside(docs: DataFrame, *helpers: Column) -> DataFrame:
+    """All columns of ``docs`` and then the helpers, under names that cannot clash; restore the names with ``as_rows``."""
+    own = [F.col(f"`{c}`").alias(f"_column_{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(*own, *(h.alias(f"_helper_{i}") for i, h in enumerate(helpers)))
+
+
+def as_rows(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    """The first columns of a batch under their own names."""
+    return pa.RecordBatch.from_arrays(batch.columns[: len(names)], names)
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, by_group, components, in_blocks, long_array, stage
+from .common import Forest, as_rows, beside, by_group, components, in_blocks, long_array, stage
 from .features import distinct_counts
 from .words import Words, scramble, shingles, steps
 
@@ -316,13 +316,12 @@ def drop_near(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "doc_id"
     wanted = np.zeros(SLOTS, bool)
     wanted[[r.slot for r in touched.select(slot(F.col("id")).alias("slot")).distinct().toLocalIterator()]] = True
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
-    width = len(docs.columns)
-    inner = [F.col(f"`{c}`") for c in docs.columns]
+    names = docs.columns
+    inner = [F.col(f"`{c}`") for c in names]
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = batch.filter(pa.array(~sent.value[batch.column(width).to_numpy()]))
-            yield pa.RecordBatch.from_arrays(kept.columns[:width], kept.schema.names[:width])
+            yield as_rows(batch.filter(pa.array(~sent.value[batch.column(len(names)).to_numpy()])), names)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = (b.filter(pa.array(sent.value[b.column(1).to_numpy()])) for b in batches)
@@ -334,7 +333,7 @@ def drop_near(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "doc_id"
                 ["d", "n", "s", "t", "id"],
             )
 
-    free = docs.select(*inner, slot(F.col(f"`{id}`"))).mapInArrow(untouched, docs.schema)
+    free = beside(docs, slot(F.col(f"`{id}`"))).mapInArrow(untouched, docs.schema)
     whole = docs.select(
         F.struct(*inner).alias("d"), slot(F.col(f"`{id}`")).alias("slot"), F.col(f"`{text}`").cast("string").alias("x"), F.col(f"`{id}`").cast("long").alias("id")
     )

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import as_rows, beside, small_batches, stage
 from .features import statistics, training_sample
 from .words import Words, steps
 
@@ -236,17 +236,15 @@ def document_rates(mix: Mix, id: str = "doc_id") -> DataFrame:
 def resample(docs: DataFrame, mix: Mix, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every row floor(rate + u) times, u in [0, 1) a hash of id and text. Nothing is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast((mix.domains, mix.rates))
-    width = len(docs.columns)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         domains, rates = sent.value
-        for batch, texts in steps(batches, width):
+        for batch, texts in steps(batches, len(names)):
             _, p = domains.posteriors(texts)
-            u = batch.column(width + 1).to_numpy(zero_copy_only=False)
+            u = batch.column(len(names) + 1).to_numpy(zero_copy_only=False)
             times = np.floor(rates.replay(p)[0] + u).astype(int)
-            chosen = batch.take(pa.array(np.repeat(np.arange(len(texts)), times)))
-            yield pa.RecordBatch.from_arrays(chosen.columns[:width], chosen.schema.names[:width])
+            yield as_rows(batch.take(pa.array(np.repeat(np.arange(len(texts)), times))), names)
 
     u = F.pmod(F.xxhash64(F.col(id), F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    read = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(text).cast("string"), u)
-    return read.mapInArrow(run, docs.schema)
+    return beside(docs, F.col(text).cast("string"), u).mapInArrow(run, docs.schema)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_rows, beside
 from .features import STATISTICS, distinct_counts, statistics, training_sample
 from .words import Words, steps
 
@@ -154,13 +155,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, least: float = 0.7, most:
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7, most: int = 6000, id: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
     """``docs`` without the texts that score under ``least``, all columns kept; nothing is shuffled."""
     scores = scorer(fit(docs, labels, most, id, text, chars), docs.sparkSession)
-    width = len(docs.columns)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, score in scores(batches, width, width + 1):
-            kept = batch.filter(pa.array(score >= least))
-            yield pa.RecordBatch.from_arrays(kept.columns[:width], kept.schema.names[:width])
+        for batch, score in scores(batches, len(names), len(names) + 1):
+            yield as_rows(batch.filter(pa.array(score >= least)), names)
 
-    # positions, not names, find the two columns, as those of docs may be called anything
-    read = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(text).cast("string"), F.col(chars).cast("double"))
+    read = beside(docs, F.col(text).cast("string"), F.col(chars).cast("double"))
     return read.mapInArrow(run, docs.schema)
