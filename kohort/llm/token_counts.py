@@ -8,7 +8,8 @@
 
 The pre-tokens are those of the tokenizer file's byte-level rule. Texts are cut where that rule always
 cuts, before a single space between two other characters, and each piece is cut by the rule itself: by
-a regular expression where all characters are below U+0250, by the library elsewhere. The strings of
+a regular expression where all characters are below U+0250, by the library elsewhere. Texts with other
+white space beside a space or with special tokens are cut as a whole. The strings of
 special tokens in a text count as one token each, as the library does by default.
 
 Defined cases: a null text counts as empty and has 0 tokens; repeated rows are counted row by row; a
@@ -21,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,12 +32,13 @@ from .common import small_batches, stage, tasks, text_bytes
 
 #: fixed value: the byte-level pre-token rule of the tokenizer file
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: distinct pieces held by one task before it hands on its counts
-HELD = 200_000
+#: distinct words held by one task
+HELD = 500_000
 #: the most bytes a pre-token of the broadcast head may have
 HEAD_BYTES = 48
-BESIDE_SPACE = re.compile(r" \s|\s | $|^ ")
 PLAIN = re.compile(r"[\x00-ɏ]*\Z")
+#: after letters these surely begin a pre-token of their own
+ENDS = frozenset(".,;:!?")
 
 
 class PreTokens:
@@ -48,31 +51,43 @@ class PreTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.rule = regex.compile(RULE)
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.special = set(special)
+        self.special = frozenset(special)
         self.at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
-    def pieces(self, text: str) -> Counter:
-        """Cuts ``text`` where the rule surely cuts; special tokens stand alone."""
-        parts = self.at_special.split(text) if self.at_special and any(s in text for s in self.special) else [text]
-        found: Counter = Counter()
-        for part in parts:
-            if not part:
-                continue
-            if part in self.special or BESIDE_SPACE.search(part):
-                found[part] += 1
-                continue
-            words = part.split(" ")
-            found[words[0]] += 1
-            for word, n in Counter(words[1:]).items():
-                found[" " + word] += n
-        return found
+    def words(self, text: str) -> list[str] | None:
+        """The text cut at its spaces, None where spaces meet or a special token occurs and it must be cut as a whole.
+
+        A word may still border on other white space; see ``unsure``.
+        """
+        words = text.split(" ")
+        return None if "" in words or any(s in text for s in self.special) else words
+
+    @staticmethod
+    def unsure(word: str) -> bool:
+        """Whether white space at the word's border may belong with the space beside it."""
+        return word[0].isspace() or word[-1].isspace()
 
     def cut(self, piece: str) -> list[str]:
-        """The pre-tokens of one piece; none for a special token, which the caller counts."""
+        """The pre-tokens of a piece of text without special tokens."""
         if PLAIN.match(piece):
+            bare = piece[1:] if piece[:1] == " " else piece
+            if bare.isalpha():
+                return [piece]
+            if bare[:-1].isalpha() and bare[-1] in ENDS:
+                return [piece[:-1], piece[-1]]
             return self.rule.findall(piece)
         return [piece[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
 
+    def whole(self, text: str) -> tuple[int, Counter]:
+        """(special tokens, pre-tokens) of a text that is not cut at its spaces."""
+        special, found = 0, Counter()
+        for part in self.at_special.split(text) if self.at_special else [text]:
+            if part in self.special:
+                special += 1
+            elif part:
+                found.update(self.cut(part))
+        return special, found
+
     def count(self, pre_tokens: list[str]) -> list[int]:
         """Pieces of each pre-token by the tokenizer's own model."""
         encoded = self.tokenizer.encode_batch_fast(pre_tokens, add_special_tokens=False)
@@ -83,27 +98,33 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(pre_token, frequency, n_pieces) for every distinct pre-token of the corpus, written as a table."""
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, held = PreTokens(path), Counter()
+        cutter, first, later, whole = PreTokens(path), Counter(), Counter(), Counter()
 
         def flush() -> pa.RecordBatch:
-            found: Counter = Counter()
-            for piece, n in held.items():
-                if piece not in cutter.special:
-                    for pre_token in cutter.cut(piece):
+            found = Counter(whole)
+            for space, held in (("", first), (" ", later)):
+                for word, n in held.items():
+                    for pre_token in cutter.cut(space + word):
                         found[pre_token] += n
-            held.clear()
+            for held in (first, later, whole):
+                held.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["pre_token", "n"]
             )
 
         for batch in small_batches(batches):
             for value in batch.column(0).to_pylist():
-                if value:
-                    for piece, n in cutter.pieces(value).items():
-                        held[piece] += n
-            if len(held) > HELD:
+                if not value:
+                    continue
+                words = cutter.words(value)
+                if words is None or any(map(cutter.unsure, set(words))):
+                    whole.update(cutter.whole(value)[1])
+                else:
+                    first[words[0]] += 1
+                    later.update(words[1:])
+            if len(first) + len(later) + len(whole) > HELD:
                 yield flush()
-        if held:
+        if first or whole:
             yield flush()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +140,77 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return stage(distinct.mapInArrow(counted, "pre_token string, frequency long, n_pieces int"))
 
 
+class Tally:
+    """Counts the known pieces of texts word by word and names their rare pre-tokens; words are learnt once."""
+
+    def __init__(self, cutter: PreTokens, counts: dict[str, int]):
+        self.cutter, self.counts = cutter, counts
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.known = np.zeros(1024, np.int64)
+        # each word has at most a few rare pre-tokens: rare[begin:begin + size]
+        self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.rare: list[int] = []
+        self.names: list[str] = []
+        self.number: dict[str, int] = {}
+        self.unsure: set[str] = set()
+
+    def rare_number(self, pre_token: str) -> int:
+        if pre_token not in self.number:
+            self.number[pre_token] = len(self.names)
+            self.names.append(pre_token)
+        return self.number[pre_token]
+
+    def learn(self, words: set[str]) -> None:
+        for word in words:
+            n = len(self.place)
+            if n >= len(self.known):
+                self.known, self.begin, self.size = (np.resize(x, 2 * n) for x in (self.known, self.begin, self.size))
+            if self.cutter.unsure(word):
+                self.unsure.add(word)
+            parts = self.cutter.cut(" " + word)
+            rare = [self.rare_number(p) for p in parts if p not in self.counts]
+            self.place[word], self.known[n] = n, sum(self.counts.get(p, 0) for p in parts)
+            self.begin[n], self.size[n] = len(self.rare), len(rare)
+            self.rare += rare
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens known per text), and the rare pre-tokens: text, number, frequency."""
+        if len(self.place) > HELD:
+            self.clear()
+        split = [self.cutter.words(t) if t else None for t in texts]
+        self.learn({w for words in split if words for w in words[1:] if w not in self.place})
+        total, owners, numbers = np.zeros(len(texts), np.int64), [], []
+        for i, (text, words) in enumerate(zip(texts, split, strict=True)):
+            if not text:
+                continue
+            if words is None or self.cutter.unsure(words[0]) or (self.unsure and not self.unsure.isdisjoint(words)):
+                special, apart = self.cutter.whole(text)
+                total[i] += special
+            else:
+                at = np.fromiter(map(self.place.__getitem__, words[1:]), np.int64, len(words) - 1)
+                total[i] += self.known[at].sum()
+                at = at[self.size[at] > 0]
+                for j in range(int(self.size[at].max()) if len(at) else 0):
+                    own = at[self.size[at] > j]
+                    numbers.append((i, self.begin[own] + j))
+                apart = Counter(self.cutter.cut(words[0]))
+            for p, n in apart.items():
+                if p in self.counts:
+                    total[i] += n * self.counts[p]
+                else:
+                    owners.append((i, self.rare_number(p), n))
+        rare = np.array(self.rare, np.int64) if numbers else np.zeros(0, np.int64)
+        owner = np.concatenate([np.repeat(i, len(x)) for i, x in numbers] + [np.array([o[0] for o in owners], np.int64)])
+        number = np.concatenate([rare[x] for _, x in numbers] + [np.array([o[1] for o in owners], np.int64)])
+        weight = np.concatenate([np.ones(len(owner) - len(owners), np.int64), np.array([o[2] for o in owners], np.int64)])
+        key, place = np.unique((owner << 40) + number, return_inverse=True)
+        times = np.bincount(place, weight, len(key)).astype(np.int64) if len(key) else np.zeros(0, np.int64)
+        return total, key >> 40, key & ((1 << 40) - 1), times
+
+
 def token_counts(
     docs: DataFrame, path: str, limit: int = 1024, head: int = 131_072, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -130,39 +222,30 @@ def token_counts(
     known = spark.sparkContext.broadcast({r.pre_token: r.n_pieces for r in top.toLocalIterator()})
 
     def reduce_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, counts = PreTokens(path), known.value
-        seen: dict[str, tuple[int, list[str]]] = {}
+        tally = Tally(PreTokens(path), known.value)
         row = TaskContext.get().partitionId() << 40
         for batch in small_batches(batches):
-            ids, sizes = batch.column(0).to_pylist(), list(map(len, text_bytes(batch.column(1))))
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, size, value in zip(ids, sizes, batch.column(1).to_pylist(), strict=True):
-                row += 1
-                total, rare = 0, Counter()
-                for piece, n in (cutter.pieces(value) if value else {}).items():
-                    got = seen.get(piece)
-                    if got is None:
-                        if piece in cutter.special:
-                            got = (1, [])
-                        else:
-                            parts = cutter.cut(piece)
-                            got = (sum(counts.get(p, 0) for p in parts), [p for p in parts if p not in counts])
-                        if len(seen) > HELD:
-                            seen.clear()
-                        seen[piece] = got
-                    total += n * got[0]
-                    for p in got[1]:
-                        rare[p] += n
-                # the document's own figures ride on its first row; a filler without pieces where it has no rare one
-                first = True
-                for p, n in rare.items() or ((f"\x00{row % 65_536}", 0),):
-                    for column, v in zip(out, (row, p, n, doc if first else None, size if first else 0, total if first else 0), strict=True):
-                        column.append(v)
-                    first = False
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            sizes = np.array(list(map(len, text_bytes(batch.column(1)))), np.int64)
+            total, owner, number, times = tally.batch(batch.column(1).to_pylist())
+            # a text without rare pre-tokens gets a filler that has no pieces
+            without = np.setdiff1d(np.arange(len(total)), owner)
+            names = [tally.names[i] for i in number.tolist()] + [f"\x00{(row + i) % 65_536}" for i in without.tolist()]
+            owner, times = np.concatenate([owner, without]), np.concatenate([times, np.zeros(len(without), np.int64)])
+            # the document's own figures ride on its first row
+            first = np.zeros(len(owner), bool)
+            first[np.unique(owner, return_index=True)[1]] = True
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["row", "pre_token", "n", "doc", "size", "total"]
+                [
+                    pa.array(row + owner),
+                    pa.array(names, pa.string()),
+                    pa.array(times.astype(np.int32)),
+                    batch.column(0).take(pa.array(owner)),
+                    pa.array(np.where(first, sizes[owner], 0)),
+                    pa.array(np.where(first, total[owner], 0)),
+                ],
+                ["row", "pre_token", "n", "doc", "size", "total"],
             )
+            row += len(total)
 
     frequencies = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
         reduce_documents, "row long, pre_token string, n int, doc long, size long, total long"
