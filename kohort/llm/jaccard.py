@@ -4,12 +4,15 @@ Every text is the set of its distinct shingles of ``k`` words. Sets are ordered
 fixed size, rare shingles first. If x and y are linked and l <= both least overlaps, they share at least l shingles
 among the first |x| - need(x) + l of x and |y| - need(y) + l of y, need(x) = ceil(similarity |x|). Each document
 chooses its own l: longer prefixes cost index entries but ask for more matches, and l minimises the
-estimated sum. A pair is a candidate when its prefixes share at least min(l_x, l_y) shingles.
+estimated sum, though it is never under ``least(n)``, which grows with the size n of the set. A pair is a
+candidate when its prefixes share at least min(l_x, l_y) shingles.
 
 1. Equal sets are one class, found by combining aggregates. From here on only one row of a class moves.
 2. Prefix shingles found in one class only can link nothing and are dropped. The smallest class that holds a
-   shingle leads it; a class joins the group of each of its leaders with its remaining prefix. Any two classes that
-   share a prefix shingle meet in a group, where matches are counted by a matrix product.
+   shingle leads it; a class joins the groups of its leaders with its remaining prefix, and matches are counted
+   there by a matrix product. Every partner of x asks for at least m = least(need(x)) matches, and the rarest of the
+   shared shingles has m - 1 more frequent ones beside it, so x joins for all but its m - 1 most frequent shingles:
+   documents that meet others in a few phrases by chance join no group at all.
 3. Candidates leave a group as clusters, one row per class, never as pairs. Their whole sets are then compared
    exactly, and the links leave as the edges of a spanning forest.
 4. Components of the links come from a distributed large-star small-star job.
@@ -39,10 +42,12 @@ from .words import Words, scramble, shingles, steps
 
 #: counters of the frequency sketch
 SKETCH_BITS = 18
-#: longest extension of a prefix
-MOST = 8
+#: longest extension of a prefix, and the longest that sets of one size all have
+MOST, COMMON = 32, 16
+#: documents that any shingle is expected to meet by chance, which the sketch is too coarse to show
+CHANCE = 0.1
 #: members of a block where prefixes are compared, and where whole sets are
-PREFIX_BLOCK, SET_BLOCK = 2048, 1024
+PREFIX_BLOCK, SET_BLOCK = 512, 512
 #: slots of the filter that says which rows may matter
 SLOTS = 1 << 20
 
@@ -108,22 +113,31 @@ def sketch(rows: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def prefix(values: np.ndarray, counts: np.ndarray, typical: float, need: int) -> tuple[int, np.ndarray]:
+def least(n: int, percent: int) -> int:
+    """Matches that every set of ``n`` shingles asks for at least; does not fall as ``n`` grows.
+
+    The l of the cheapest prefix where each shingle meets CHANCE others: sqrt(CHANCE n base / (1 + CHANCE)).
+    """
+    need = -(-percent * n // 100)
+    return max(1, min(COMMON, need, int(np.sqrt(CHANCE * n * (n - need) / (1 + CHANCE)))))
+
+
+def prefix(values: np.ndarray, counts: np.ndarray, typical: float, need: int, low: int) -> tuple[int, np.ndarray]:
     """(l, prefix) of one set by estimated cost: index entries, postings met, and a whole comparison per candidate."""
     order = np.lexsort((values, counts))
     base = len(values) - need
     most = min(MOST, need)
-    others = np.maximum(0.0, counts[order[: base + most]] - typical)
+    others = np.maximum(CHANCE, counts[order[: base + most]] - typical)
     met = np.cumsum(others)
     tries = np.arange(1, most + 1)
     at = base + tries - 1
     cost = at + met[at] + len(values) * met[at] / tries
-    best = int(tries[cost.argmin()])
+    best = max(low, int(tries[cost.argmin()]))
     return best, values[order[: base + best]]
 
 
 def prefixes(rows: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(row, id, n, s, t, matches, prefix) per document, written as a table; s and t name the set."""
+    """(row, id, n, s, t, matches, spare, prefix) per document, written as a table; s and t name the set."""
     sent = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +152,8 @@ def prefixes(rows: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataF
             n = np.diff(ends)
             need = -(-percent * n // 100)
             chosen = [
-                prefix(values[a:b], found[a:b], typical, int(m)) if b > a else (0, values[:0]) for a, b, m in zip(ends, ends[1:], need)
+                prefix(values[a:b], found[a:b], typical, int(m), least(int(b - a), percent)) if b > a else (0, values[:0])
+                for a, b, m in zip(ends, ends[1:], need)
             ]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -148,13 +163,14 @@ def prefixes(rows: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataF
                     pa.array(s, pa.int64()),
                     pa.array(t, pa.int64()),
                     pa.array([c[0] for c in chosen], pa.int32()),
+                    pa.array([least(int(m), percent) - 1 for m in need], pa.int32()),
                     long_array([c[1] for c in chosen]),
                 ],
-                ["row", "id", "n", "s", "t", "matches", "prefix"],
+                ["row", "id", "n", "s", "t", "matches", "spare", "prefix"],
             )
             row += len(texts)
 
-    return stage(rows.mapInArrow(run, "row long, id long, n long, s long, t long, matches int, prefix array<long>"))
+    return stage(rows.mapInArrow(run, "row long, id long, n long, s long, t long, matches int, spare int, prefix array<long>"))
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -213,11 +229,14 @@ def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
 def clusters(classes: DataFrame, percent: int) -> DataFrame:
     """(cluster, class): classes that a chain of candidate pairs of one group connects, smallest class first."""
     index = classes.select("class", F.explode("prefix").alias("shingle"))
-    led = index.groupBy("shingle").agg(F.min("class").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    led = index.groupBy("shingle").agg(F.min("class").alias("leader"), F.count("*").alias("held")).where("held > 1")
     shared = index.join(led.hint("merge"), "shingle")
-    own = shared.groupBy("class").agg(F.collect_list("shingle").alias("shared"), F.collect_set("leader").alias("leaders"))
-    own = own.join(classes.select("class", "n", "matches"), "class")
-    members = stage(own.select("class", "n", "matches", "shared", F.explode("leaders").alias("leader")))
+    own = shared.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("held", "shingle", "leader"))).alias("all"))
+    own = own.join(classes.select("class", "n", "matches", "spare"), "class").where(F.size("all") > F.col("spare"))
+    rarest = F.slice("all", F.lit(1), F.size("all") - F.col("spare"))
+    members = stage(
+        own.select("class", "n", "matches", F.col("all.shingle").alias("shared"), F.explode(F.array_distinct(rarest["leader"])).alias("leader"))
+    )
     dealt = in_blocks(members, ["leader"], "class", PREFIX_BLOCK)
 
     def candidates(group: pa.Table) -> list[tuple]:
@@ -260,7 +279,9 @@ def links(rows: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
 
     read = rows.withColumn("slot", slot(F.col("id"))).mapInArrow(collect, "n long, s long, t long, members binary")
     named = needed.select("class", "n", "s", "t")
-    sets = stage(read.join(named.hint("merge"), ["n", "s", "t"]).select("class", "n", "members").dropDuplicates(["class"]))
+    # a class is its n, s and t: one row of each stays where the join has put it
+    sets = read.join(named.hint("merge"), ["n", "s", "t"]).dropDuplicates(["n", "s", "t"])
+    sets = stage(sets.select("class", "n", "members"))
     dealt = in_blocks(found, ["cluster"], "class", SET_BLOCK).join(sets.hint("merge"), "class")
 
     def compare(group: pa.Table) -> list[tuple]:
@@ -284,9 +305,9 @@ def near_components(docs: DataFrame, k: int, percent: int, id: str = "doc_id", t
         own.where("n > 0")
         .groupBy("n", "s", "t")
         .agg(
-            F.min(F.struct("row", "id")).alias("first"), F.min("id").alias("least"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix")
+            F.min(F.struct("row", "id")).alias("first"), F.min("id").alias("least"), F.first("matches").alias("matches"), F.first("spare").alias("spare"), F.first("prefix").alias("prefix")
         )
-        .select(F.col("first.row").alias("class"), F.col("first.id").alias("id"), "least", "n", "s", "t", "matches", "prefix")
+        .select(F.col("first.row").alias("class"), F.col("first.id").alias("id"), "least", "n", "s", "t", "matches", "spare", "prefix")
     )
     roots = components(links(rows, classes, k, percent)).withColumnRenamed("node", "class")
     rooted = classes.select("class", "n", "s", "t", "least").join(roots, "class", "left")
