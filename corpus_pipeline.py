@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    """Sequences of at most 2048 tokens. Few words are remembered, as the workers of earlier stages hold memory too."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), kept=100_000)
 
 
 STAGES = [

@@ -187,7 +187,7 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     owner, column = owner[order], column[order]
     out = np.zeros((len(left), len(right)), np.float32)
     # members in strips, so that the incidence matrix stays small
-    strip = max(64, (1 << 23) // max(1, len(sets)))
+    strip = max(64, (1 << 21) // max(1, len(sets)))
     for start in range(0, len(shared), strip):
         a, b = np.searchsorted(column, [start, start + strip])
         m = np.zeros((len(sets), min(strip, len(shared) - start)), np.float32)

@@ -33,7 +33,7 @@ from .features import statistics, training_sample
 from .words import Words, steps
 
 #: words that the classifier looks at: those in at least LEAST sample texts, at most VOCABULARY of them
-VOCABULARY, LEAST = 4096, 5
+VOCABULARY, LEAST = 2048, 5
 
 
 class Domains:

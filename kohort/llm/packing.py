@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, stage
 from .words import steps
 
-#: distinct words whose ids one worker keeps
-KEPT = 600_000
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: Latin-1 letters end a word for sure: these bytes after 0xC3, without the multiplication and division signs
 LATIN = frozenset(range(0x80, 0xC0)) - {0x97, 0xB7}
@@ -39,10 +37,10 @@ PLAIN_BYTES = 0xCA
 class Encoder:
     """The ids of a tokenizer that lower-cases and drops white space, remembered by word."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.clear()
 
     def clear(self) -> None:
@@ -94,7 +92,7 @@ class Encoder:
         for text in texts:
             plain = b"<|" not in text and (text.isascii() or max(text) < PLAIN_BYTES)
             split.append(text.translate(ASCII_LOWER).split() if plain else None)
-        if len(self.place) > KEPT:
+        if len(self.place) > self.kept:
             self.clear()
         unseen = {w for words in split if words for w in words if w not in self.place}
         if unseen:
@@ -112,14 +110,14 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int) -> Encoder:
     """One encoder a worker, so that the words of earlier tasks need not be looked up again."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = Encoder(path, kept)
+    return _encoders[path, kept]
 
 
 def fill(counts: np.ndarray, size: int) -> list[tuple[list[int], int]]:
@@ -214,9 +212,9 @@ def schedule(plan: list[tuple[list[int], int]], size: int) -> dict[str, np.ndarr
     return {"key": (table[:, 0] << 48) + table[:, 1], "rank": table[:, 1], "sequence": table[:, 2], "offset": table[:, 3]}
 
 
-def pieces(docs: DataFrame, path: str, size: int, end: int, id: str, text: str) -> DataFrame:
+def pieces(docs: DataFrame, path: str, size: int, end: int, id: str, text: str, kept: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = encoder(path), TaskContext.get().partitionId()
+        words, part = encoder(path, kept), TaskContext.get().partitionId()
         ranks = np.zeros(size + 1, np.int64)
         for batch, texts in steps(batches, 1):
             out: list[tuple] = []
@@ -234,9 +232,12 @@ def pieces(docs: DataFrame, path: str, size: int, end: int, id: str, text: str)
     return stage(read.mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long, part int, rank long"))
 
 
-def pack(docs: DataFrame, path: str, size: int = 2048, end: int = 0, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece with its sequence and its offset there; sequences hold at most ``size`` tokens."""
-    cut = pieces(docs, path, size, end, id, text)
+def pack(docs: DataFrame, path: str, size: int = 2048, end: int = 0, id: str = "doc_id", text: str = "text", kept: int = 600_000) -> DataFrame:
+    """One row per piece with its sequence and its offset there; sequences hold at most ``size`` tokens.
+
+    ``kept`` bounds the words a worker remembers: more of them take memory and save time, the result is the same.
+    """
+    cut = pieces(docs, path, size, end, id, text, kept)
     by_task = stage(cut.groupBy("part", "length").agg(F.count("*").alias("n")))
     counts = np.zeros(size + 1, np.int64)
     # at most one row for each length

@@ -11,12 +11,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import ASCII_LOWER, text_bytes
+from .common import ASCII_LOWER, small_batches, text_bytes
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 #: bytes of text that one step works on; a longer text is a step of its own
-STEP = 1 << 20
+STEP = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -67,7 +67,8 @@ class Words:
 
 def steps(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches holding at most about STEP bytes of column ``text``, with the texts."""
-    for batch in batches:
+    # a slice at a time, so that a batch of long texts is not copied as a whole
+    for batch in small_batches(batches):
         texts = text_bytes(batch.column(text))
         start, held = 0, 0
         for i, t in enumerate(texts):
@@ -77,6 +78,8 @@ def steps(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Rec
             held += len(t) + 1
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+    # workers are used again by other stages
+    pa.default_memory_pool().release_unused()
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
