@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -16,6 +17,11 @@ def matrix(batch: pa.RecordBatch, name: str, dtype=np.float64) -> np.ndarray:
     if len(column) == 0:
         return np.zeros((0, 0), dtype)
     # Spark may split a column over several lists; an empty first row means d = 0
+    if column.null_count:
+        raise ValueError(f"column {name} holds NULL vectors")
+    lengths = column.value_lengths()
+    if pc.min(lengths) != pc.max(lengths):
+        raise ValueError(f"column {name} holds vectors of different lengths")
     values = column.flatten().to_numpy(zero_copy_only=False)
     return np.ascontiguousarray(values.reshape(len(column), -1), dtype=dtype)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import UnivariateFeatureSelector
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import collect_sum, list_array, matrix, sum_arrays
@@ -53,7 +53,7 @@ def map_matrix(df: DataFrame, fn, x: str = "x") -> DataFrame:
 
 
 def long_form(df: DataFrame, by: list[str] | None = None, x: str = "x") -> DataFrame:
-    return df.select(*(by or []), F.posexplode(x).alias("column", "value"))
+    return df.select(*(by or []), F.posexplode(F.transform(x, lambda v: F.when(~F.isnan(v), v))).alias("column", "value"))
 
 
 def robust_parameters(df: DataFrame, by: list[str] | None = None, x: str = "x", **options) -> DataFrame:
@@ -83,7 +83,7 @@ def column_medians(df: DataFrame, x: str = "x", **options) -> list[float]:
 
 
 def impute_median(df: DataFrame, medians: list[float], x: str = "x") -> DataFrame:
-    return df.withColumn(x, F.zip_with(x, literal(medians), lambda v, m: F.coalesce(v, m)))
+    return df.withColumn(x, F.zip_with(x, literal(medians), lambda v, m: F.coalesce(F.when(~F.isnan(v), v), m)))
 
 
 # ---------------------------------------------------------------- selection
@@ -325,7 +325,10 @@ def oversample_minority(df: DataFrame, label: str = "label", id_col: str = "subj
     most = counts.agg(F.max("n")).first()[0]
     extra = most - small["n"]
     minority = df.where(F.col(label) == small[label]).withColumn("_k", shuffle_key(F.col(id_col), seed))
-    numbered = average_ranks(minority, "_k", "_r").withColumn("_j", F.floor("_r").cast("bigint")).drop("_k", "_r")
+    # copies of an id share their key and its mean rank; they are numbered around it
+    ties = Window.partitionBy("_k")
+    among = F.row_number().over(ties.orderBy(id_col)) - (F.count("*").over(ties) + 1) / 2
+    numbered = average_ranks(minority, "_k", "_r").withColumn("_j", F.round(F.col("_r") + among).cast("bigint")).drop("_k", "_r")
     # draw i takes minority row number hash(i) mod n
     draw = F.pmod(shuffle_key(F.col("id"), seed).cast("bigint"), F.lit(small["n"])) + 1
     draws = df.sparkSession.range(extra).select(draw.alias("_j"), (F.col("id") + 1).alias("copy"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from .ranks import attach, order_statistics
 
@@ -20,6 +21,13 @@ def fold_starts(n: Column, k: int) -> Column:
     return F.array(*[(F.lit(j) * size + F.least(F.lit(j), longer)).cast("bigint") for j in range(1, k)])
 
 
+def literal(value, kind: DataType) -> Column:
+    """A driver value, also a row of values, as a constant of type ``kind``."""
+    if isinstance(kind, StructType) and value is not None:
+        return F.struct(*[literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    return F.lit(value).cast(kind)
+
+
 def _assign(
     df: DataFrame, key: Column, id_col: str, starts, by: list[str], out: str, **options
 ) -> DataFrame:
@@ -31,7 +39,7 @@ def _assign(
         kind = df.schema[id_col].dataType
         passed = F.lit(0)
         for cut in cuts.collect():
-            start = F.struct(F.lit(cut["value"]).alias("value"), F.lit(cut["tie"]).cast(kind).alias("tie"))
+            start = F.struct(F.lit(cut["value"]).alias("value"), literal(cut["tie"], kind).alias("tie"))
             passed = passed + F.when(start <= me, 1).otherwise(0)
         return keyed.withColumn(out, passed).drop("_key")
     # a group smaller than two rows has no cut
@@ -44,8 +52,14 @@ def _assign(
 def kfold_contiguous(
     df: DataFrame, position: str, id_col: str, k: int = 5, by: list[str] | None = None, out: str = "fold", **options
 ) -> DataFrame:
-    """k contiguous blocks in ``position`` order."""
-    return _assign(df, F.col(position).cast("double"), id_col, lambda n: fold_starts(n, k), by or [], out, **options)
+    """k contiguous blocks in ``position`` order.
+
+    Cuts are found by the position as a double; positions that fall together there are told apart by their own
+    value and then by id.
+    """
+    exact = df.withColumn("_exact", F.struct(F.col(position).alias("p"), F.col(id_col).alias("i")))
+    placed = _assign(exact, F.col(position).cast("double"), "_exact", lambda n: fold_starts(n, k), by or [], out, **options)
+    return placed.drop("_exact")
 
 
 def kfold_shuffled(

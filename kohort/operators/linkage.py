@@ -77,7 +77,16 @@ def first_error_per_model(errors: DataFrame, order: Column | None = None) -> Dat
 
 
 def lookup_model_error(predictions: DataFrame, errors: DataFrame) -> DataFrame:
-    return predictions.join(settle(first_error_per_model(errors)), "model")
+    """The MAE of each prediction's model, NULL for a model that has none."""
+    return predictions.join(settle(first_error_per_model(errors)), "model", "left")
+
+
+def require_model_errors(predictions: DataFrame, errors: DataFrame) -> None:
+    """Raises when a model has predictions but no MAE."""
+    unknown = predictions.select("model").distinct().join(errors.select("model"), "model", "left_anti")
+    names = [r["model"] for r in unknown.limit(5).collect()]
+    if names:
+        raise KeyError(f"no MAE for the models {names}")
 
 
 def lookup_site_range(rows: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -28,7 +28,9 @@ def nearest(
     id_col: str = "subject_id",
     block_rows: int | None = None,
 ) -> DataFrame:
-    """(query, neighbour, y, distance), the k nearest training rows of each query, ties by id."""
+    """(row, query, neighbour, y, distance), the k nearest training rows of each query, ties by id."""
+    # a row is asked for on its own, also where several rows share an id
+    queries = queries.withColumn("_row", F.monotonically_increasing_id())
     d = len((train.select("x").first() or [[]])[0])
     sizes = [blocks_needed(side.count(), d, d, block_rows) for side in (queries, train)]
 
@@ -36,6 +38,7 @@ def nearest(
         own, other = sizes if is_query else sizes[::-1]
         rows = side.select(
             F.col(id_col).alias("id"),
+            (F.col("_row") if is_query else F.lit(None).cast("bigint")).alias("row"),
             "x",
             F.lit(None).cast("double").alias("y") if is_query else F.col("age").alias("y"),
             F.lit(is_query).alias("q"),
@@ -44,12 +47,12 @@ def nearest(
             F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("other"),
         )
         a, b = ("own", "other") if is_query else ("other", "own")
-        return rows.select("id", "x", "y", "q", F.col(a).alias("a"), F.col(b).alias("b"))
+        return rows.select("id", "row", "x", "y", "q", F.col(a).alias("a"), F.col(b).alias("b"))
 
     def best(part: pd.DataFrame) -> pd.DataFrame:
         left, right = part[part["q"]], part[~part["q"]].sort_values("id")
         if left.empty or right.empty:
-            return pd.DataFrame({"query": [], "neighbour": [], "y": [], "distance": []})
+            return pd.DataFrame({"row": [], "query": [], "neighbour": [], "y": [], "distance": []})
         a, b = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
         take = min(k, len(b))
         out = []
@@ -62,6 +65,7 @@ def nearest(
         order = np.concatenate([o for o, _ in out])
         return pd.DataFrame(
             {
+                "row": np.repeat(left["row"].to_numpy().astype(np.int64), take),
                 "query": np.repeat(left["id"].to_numpy(), take),
                 "neighbour": right["id"].to_numpy()[order.ravel()],
                 "y": right["y"].to_numpy()[order.ravel()],
@@ -72,16 +76,16 @@ def nearest(
     kind = queries.schema[id_col].dataType.simpleString()
     both = spread(queries, True).unionByName(spread(train, False))
     winners = both.groupBy("a", "b").applyInPandas(
-        best, f"query {kind}, neighbour {kind}, y double, distance double"
+        best, f"row bigint, query {kind}, neighbour {kind}, y double, distance double"
     )
-    w = Window.partitionBy("query").orderBy("distance", "neighbour")
+    w = Window.partitionBy("row").orderBy("distance", "neighbour")
     return winners.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
 def knn_regress(
     queries: DataFrame, train: DataFrame, k: int = 5, p: int = 2, weights: str = "uniform", **options
 ) -> DataFrame:
-    """(subject_id, prediction). Distance weights: an exact match decides alone."""
+    """(subject_id, prediction), one row per query row. Distance weights: an exact match decides alone."""
     found = nearest(queries, train, k, p, **options)
     if weights == "uniform":
         prediction = F.avg("y")
@@ -89,4 +93,5 @@ def knn_regress(
         exact = F.col("distance") == 0
         inverse = F.when(~exact, 1 / F.col("distance"))
         prediction = F.coalesce(F.avg(F.when(exact, F.col("y"))), F.sum(F.col("y") * inverse) / F.sum(inverse))
-    return found.groupBy(F.col("query").alias("subject_id")).agg(prediction.alias("prediction"))
+    by_row = found.groupBy("row", F.col("query").alias("subject_id")).agg(prediction.alias("prediction"))
+    return by_row.drop("row")

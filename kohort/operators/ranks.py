@@ -170,11 +170,13 @@ def exact_quantiles(
 def rank_table(rows: DataFrame, value: str, rank: str, buckets: int = 256) -> DataFrame:
     """(value, rank): the 1-based average rank of every distinct value (ties share their mean rank).
 
+    NULL and NaN have no rank.
+
     Quantile marks split the value axis into ``buckets``; each bucket is cumulated on its own
     and shifted by the total below it. A value held by a third of the rows is a single
     counted row here.
     """
-    values = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
+    values = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(value).cast("double").alias("_v"))
     # a sketch over the rows merges map-side, without the shuffle that counting needs
     marks = values.select(quantile_marks("_v", buckets, 10 * buckets).alias("m")).first()["m"] or []
     counted = values.groupBy("_v").agg(F.count("*").alias("_c"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +65,7 @@ def pareto_front(candidates: DataFrame) -> DataFrame:
     return members.groupBy("complexity", "score").agg(F.min("candidate").alias("candidate"))
 
 
-def nondominated_ranks(candidates: DataFrame, wanted: int, max_fronts: int = 1000) -> DataFrame:
+def nondominated_ranks(candidates: DataFrame, wanted: int) -> DataFrame:
     """(complexity, score, front) for as many whole fronts as hold ``wanted`` candidates.
 
     A point that is r-th best at its own complexity lies in front r or later, and ``wanted``
@@ -73,7 +75,7 @@ def nondominated_ranks(candidates: DataFrame, wanted: int, max_fronts: int = 100
     best = Window.partitionBy("complexity").orderBy(F.desc("score"))
     left = _levels(candidates).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= wanted).drop("_r")
     fronts, found = [], 0
-    for front in range(max_fronts):
+    for front in count():
         # one written table per round: the next round reads it instead of replaying this one
         peeled = left.join(_frontier(left).withColumn("front", F.lit(front)), ["complexity", "score"], "left")
         peeled = cut_lineage(peeled)

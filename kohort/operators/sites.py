@@ -29,7 +29,7 @@ def per_site_models(df: DataFrame, alpha: float = 1.0, site: str = "site", x: st
 
 
 def per_site_ridge(df: DataFrame, alpha: float = 1.0, site: str = "site", x: str = "x", y: str = "age") -> DataFrame:
-    """Rows with the prediction of their own site's model."""
+    """Rows with the prediction of their own site's model, NULL where the site has none."""
     models = settle(per_site_models(df, alpha, site, x, y))
-    scored = df.join(models, site).withColumn("prediction", dot(F.col(x), F.col("coef")) + F.col("intercept"))
+    scored = df.join(models, site, "left").withColumn("prediction", dot(F.col(x), F.col("coef")) + F.col("intercept"))
     return scored.drop("intercept", "coef")

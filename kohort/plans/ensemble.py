@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import abs_error, clip_to_range, round_half_even, weight_from_mae
-from ..operators.linkage import common_subjects, exactly_one_match, lookup_model_error, lookup_site_range
+from ..operators.linkage import common_subjects, exactly_one_match, lookup_model_error, lookup_site_range, require_model_errors
 from ..operators.stats import median_across_models
 from ..session import settle
 
@@ -29,6 +29,7 @@ def ensemble(
     Every prediction is reduced to its weight and two sums before subjects are joined, so
     the wide side never meets more than one row per subject.
     """
+    require_model_errors(predictions, errors)
     used = lookup_model_error(exactly_one_match(predictions), errors)
     used = used.withColumn("weight", weight_from_mae(F.col("mae"), gate)).where("weight IS NOT NULL")
     placed = lookup_site_range(subjects.select("subject_id", "site"), ranges)
@@ -61,9 +62,9 @@ def bias_lines(train: DataFrame) -> DataFrame:
 
 
 def bias_correct(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Subtract each model's fitted bias, evaluated at the prediction itself."""
+    """Subtract each model's fitted bias, evaluated at the prediction itself; NULL for a model without training rows."""
     corrected = F.col("prediction") - (F.col("intercept") + F.col("slope") * F.col("prediction"))
-    return test.join(settle(bias_lines(train)), "model").withColumn("prediction", corrected).drop("slope", "intercept")
+    return test.join(settle(bias_lines(train)), "model", "left").withColumn("prediction", corrected).drop("slope", "intercept")
 
 
 def ensemble_bias_corrected(

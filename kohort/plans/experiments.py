@@ -103,15 +103,19 @@ def nested_folds(df: DataFrame, position: str = "position", outer: int = 5, inne
     (outer x (inner - 1) numbers) are exact order statistics, so rows are only compared.
     """
     rows = kfold_shuffled(df, "subject_id", outer, seed)
-    training = rows.select(position, "fold", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("o"))
+    training = rows.select(position, "subject_id", "fold", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("o"))
     training = training.where(F.col("o") != F.col("fold"))
-    cuts = order_statistics(training, position, lambda n: fold_starts(n, inner), ["o"])
-    by_outer: dict[int, list[float]] = {o: [] for o in range(outer)}
+    cuts = order_statistics(training, position, lambda n: fold_starts(n, inner), ["o"], tie="subject_id")
+    by_outer: dict[int, list[tuple]] = {o: [] for o in range(outer)}
     for r in cuts.collect():
-        by_outer[r["o"]].append(r["value"])
+        by_outer[r["o"]].append((r["value"], r["tie"]))
     inner_folds = []
+    kind = df.schema["subject_id"].dataType
+    # equal positions are told apart by id, so that ties are dealt out as well
+    me = F.struct(F.col(position).cast("double").alias("value"), F.col("subject_id").alias("tie"))
     for o in range(outer):
-        passed = sum((F.when(F.col(position) >= F.lit(c), 1).otherwise(0) for c in sorted(by_outer[o])), F.lit(0))
+        cut = [F.struct(F.lit(v).alias("value"), F.lit(t).cast(kind).alias("tie")) for v, t in sorted(by_outer[o])]
+        passed = sum((F.when(me >= c, 1).otherwise(0) for c in cut), F.lit(0))
         inner_folds.append(F.when(F.col("fold") == o, F.lit(-1)).otherwise(passed))
     return rows.withColumn("inner", F.array(*inner_folds))
 

@@ -72,7 +72,7 @@ def leaderboard(
                     owner += [c.name] * k
                 else:
                     out[c.name] = (_score_by_fold(rows, c, k), None)
-            except Exception as e:  # a failing candidate is a result, not the end of the search
+            except (ValueError, np.linalg.LinAlgError) as e:  # a failing candidate is a result, not the end of the search
                 out[c.name] = (float("-inf"), f"{type(e).__name__}: {e}"[:200])
         if models:
             errors, counts = absolute_errors(rows, models, which)

@@ -61,14 +61,18 @@ def nested_svr(
 def _site_folds(df: DataFrame, outer: int, inner: int, seed: int, position: str) -> DataFrame:
     """Nested folds restarted inside each site."""
     rows = kfold_shuffled(df, "subject_id", outer, seed, by=["site"])
-    training = rows.select("site", position, "fold", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("o"))
+    training = rows.select("site", position, "subject_id", "fold", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("o"))
     training = training.where(F.col("o") != F.col("fold"))
-    cuts = order_statistics(training, position, lambda n: fold_starts(n, inner), ["site", "o"])
-    cuts = cuts.groupBy("site").agg(F.collect_list(F.struct("o", "value")).alias("cuts"))
-    placed = attach(rows, cuts, ["site"], "cuts")
+    cuts = order_statistics(training, position, lambda n: fold_starts(n, inner), ["site", "o"], tie="subject_id")
+    cuts = cuts.groupBy("site").agg(F.collect_list(F.struct("o", F.struct("value", "tie").alias("at"))).alias("cuts"))
+    # a site of few rows has no cut and keeps its rows
+    placed = attach(rows, cuts, ["site"], "cuts", "left")
+    none = F.array().cast(cuts.schema["cuts"].dataType)
+    placed = placed.withColumn("cuts", F.coalesce("cuts", none))
+    me = F.struct(F.col(position).cast("double").alias("value"), F.col("subject_id").alias("tie"))
 
     def passed(o: int):
-        return F.size(F.filter("cuts", lambda c: (c["o"] == o) & (c["value"] <= F.col(position))))
+        return F.size(F.filter("cuts", lambda c: (c["o"] == o) & (c["at"] <= me)))
 
     inner_folds = [F.when(F.col("fold") == o, F.lit(-1)).otherwise(passed(o)) for o in range(outer)]
     return placed.withColumn("inner", F.array(*inner_folds)).drop("cuts")

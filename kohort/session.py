@@ -33,17 +33,27 @@ def get_spark(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g")
 def work_folder(spark: SparkSession) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) a temporary folder is made and set.
+    Only a local session that names none, as in tests, gets a temporary folder; on a cluster, where executors
+    would each write to their own disk, a missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="kohort-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority of the file system that Spark would use for it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def settle(small: DataFrame) -> DataFrame:
     """Write a derived lookup table and read it back, so that its size is known before it is joined.
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fill_nonfinite, id_from_path
+from ..session import qualified
 
 # Fixed values of the public NIfTI-1 format: data type code to numpy type.
 NIFTI_TYPES = {
@@ -96,9 +97,12 @@ def decode_files(files: DataFrame, decode: Callable[[bytes], np.ndarray]) -> Dat
 
 
 def scan_array_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Flattened arrays of ``.npy`` files with non-finite values replaced: (subject_id, x, shape)."""
-    decoded = decode_files(scan_files(spark, folder, ".npy"), decode_npy).where("error IS NULL")
-    return decoded.select("subject_id", fill_nonfinite(F.col("x").cast("array<double>")).alias("x"), "shape")
+    """Flattened arrays of ``.npy`` files with non-finite values replaced: (subject_id, x, shape, error).
+
+    A file that cannot be read keeps its row, without an array and with its error.
+    """
+    decoded = decode_files(scan_files(spark, folder, ".npy"), decode_npy)
+    return decoded.select("subject_id", fill_nonfinite(F.col("x").cast("array<double>")).alias("x"), "shape", "error")
 
 
 def convert_volumes(spark: SparkSession, folder: str, target: str) -> DataFrame:
@@ -112,12 +116,13 @@ def write_array_files(
 ) -> DataFrame:
     """Write one file per row of (subject_id, x, shape) from the tasks; returns (path, bytes) lazily.
 
-    A retried task writes the same bytes to the same name.
+    A retried task writes the same bytes to the same name. A path without a scheme is on the file system that
+    Spark itself would use.
     """
+    target = qualified(rows.sparkSession, folder)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uri = folder.replace("s3a://", "s3://", 1) if ":" in folder else f"file://{folder}"
-        files, root = pafs.FileSystem.from_uri(uri)
+        files, root = pafs.FileSystem.from_uri(target.replace("s3a://", "s3://", 1))
         files.create_dir(root, recursive=True)
         for part in parts:
             done = []
