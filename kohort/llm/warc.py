@@ -204,6 +204,9 @@ def rewrite_archives(decided: DataFrame, folder: str) -> DataFrame:
             }
         )
 
+    # rows are narrow beside the archives they stand for, so Spark must not put many archives into one task by their size
+    archives = max(1, decided.select("archive").distinct().count())
+    decided = decided.repartition(archives, "archive")
     # one group is one archive, whose records are bounded by the size at which archives are closed
     return stage(decided.groupBy("archive").applyInArrow(one, "archive string, offset long, length long, id long"))
 
