@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -57,6 +58,17 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterato
             yield batch.slice(start, rows)
 
 
+#: returns freed memory of the C library to the system, where the library can
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker stays for other stages, which count it as used."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 class Forest:
     """Union-find over the positions 0..n-1; the smallest position is the root."""
 
@@ -168,6 +180,7 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterable
             flush()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        give_back()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

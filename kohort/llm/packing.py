@@ -15,6 +15,7 @@ over ``size`` tokens are cut into pieces, of which only the last may be shorter.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ class Encoder:
     """The ids of a tokenizer that lower-cases and drops white space, remembered by word."""
 
     def __init__(self, path: str, kept: int):
+        # a task has one core; further threads would only hold memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import ASCII_LOWER, small_batches, text_bytes
+from .common import ASCII_LOWER, give_back, small_batches, text_bytes
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
@@ -78,8 +78,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Rec
             held += len(t) + 1
         if start < len(texts):
             yield batch.slice(start), texts[start:]
-    # workers are used again by other stages
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
