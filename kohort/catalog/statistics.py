@@ -176,13 +176,13 @@ def mae_per_site(spark, d):
     """SELECT subject_id, round(median_error, 6) AS median_error FROM (
          SELECT subject_id, median(error) AS median_error, count(DISTINCT model) AS models FROM (
            SELECT subject_id, model, avg(abs(age - prediction)) AS error FROM predictions
-           WHERE model IN ('m1', 'm2', 'm3') GROUP BY subject_id, model) GROUP BY subject_id)
-       WHERE models = 3 ORDER BY median_error DESC, subject_id""",
+           GROUP BY subject_id, model) GROUP BY subject_id)
+       WHERE models = (SELECT count(DISTINCT model) FROM predictions) ORDER BY median_error DESC, subject_id""",
     "predictions",
 )
 def median_across_models(spark, d):
-    models = ["m1", "m2", "m3"]
-    errors = V.predictions(spark, d).where(F.col("model").isin(*models)).select(
+    models = V.MODELS
+    errors = V.predictions(spark, d).select(
         "subject_id", "model", S.abs_error(F.col("age"), F.col("prediction")).alias("error")
     )
     ranked = stats.median_across_models(linkage.common_subjects(errors, models), models)
