@@ -246,34 +246,35 @@ def slice_profiles(spark, d):
     return long.select("subject_id", "axis", "slice", V.r6("density", "density"))
 
 
-LABELLED = "SELECT CAST(trunc(age) AS INTEGER) AS label, CAST(trunc(prediction) AS INTEGER) AS predicted FROM predictions WHERE model = 'm1'"
+LABELLED = "SELECT model, CAST(trunc(age) AS INTEGER) AS label, CAST(trunc(prediction) AS INTEGER) AS predicted FROM predictions"
 
 
 def labelled(spark, d):
-    rows = V.predictions(spark, d).where("model = 'm1'")
-    return rows.select(S.int_label(F.col("age")).alias("label"), S.int_label(F.col("prediction")).alias("predicted"))
+    return V.predictions(spark, d).select("model", S.int_label(F.col("age")).alias("label"), S.int_label(F.col("prediction")).alias("predicted"))
 
 
 @query(
     "balanced_accuracy",
-    """SELECT round(avg(recall), 6) AS balanced_accuracy, count(*) AS classes FROM (
-         SELECT label, avg(CASE WHEN label = predicted THEN 1.0 ELSE 0.0 END) AS recall FROM labelled GROUP BY label)""",
+    """SELECT model, round(avg(recall), 6) AS balanced_accuracy, count(*) AS classes FROM (
+         SELECT model, label, avg(CASE WHEN label = predicted THEN 1.0 ELSE 0.0 END) AS recall FROM labelled GROUP BY model, label)
+       GROUP BY model""",
     "predictions",
     extra={"labelled": LABELLED},
 )
 def balanced_accuracy(spark, d):
-    return stats.balanced_accuracy(labelled(spark, d)).select(V.r6("balanced_accuracy", "balanced_accuracy"), "classes")
+    out = stats.balanced_accuracy(labelled(spark, d), by=("model",))
+    return out.select("model", V.r6("balanced_accuracy", "balanced_accuracy"), "classes")
 
 
 @query(
     "class_weights",
-    """SELECT label, n, round(CAST(sum(n) OVER () AS DOUBLE) / count(*) OVER () / n, 6) AS weight FROM (
-         SELECT label, count(*) AS n FROM labelled GROUP BY label)""",
+    """SELECT model, label, n, round(CAST(sum(n) OVER w AS DOUBLE) / count(*) OVER w / n, 6) AS weight FROM (
+         SELECT model, label, count(*) AS n FROM labelled GROUP BY model, label) WINDOW w AS (PARTITION BY model)""",
     "predictions",
     extra={"labelled": LABELLED},
 )
 def class_weights(spark, d):
-    return stats.class_weights(labelled(spark, d)).select("label", "n", V.r6("weight", "weight"))
+    return stats.class_weights(labelled(spark, d), by=("model",)).select("model", "label", "n", V.r6("weight", "weight"))
 
 
 FINITE = "CASE WHEN NOT isinf(score) THEN score END"

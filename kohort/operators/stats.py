@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import abs_error
@@ -200,14 +200,18 @@ def slice_profiles(volumes: DataFrame, shape: tuple[int, int, int], pad: int | N
     return volumes.select("subject_id", "x").mapInArrow(profile, "subject_id string, axis int, profile array<double>")
 
 
-def balanced_accuracy(labels: DataFrame, truth: str = "label", predicted: str = "predicted") -> DataFrame:
-    recall = labels.groupBy(truth).agg(F.avg((F.col(truth) == F.col(predicted)).cast("double")).alias("recall"))
-    return recall.agg(F.avg("recall").alias("balanced_accuracy"), F.count("*").alias("classes"))
+def balanced_accuracy(labels: DataFrame, truth: str = "label", predicted: str = "predicted", by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean recall of the classes, per group of the columns ``by``."""
+    recall = labels.groupBy(*by, truth).agg(F.avg((F.col(truth) == F.col(predicted)).cast("double")).alias("recall"))
+    return recall.groupBy(*by).agg(F.avg("recall").alias("balanced_accuracy"), F.count("*").alias("classes"))
 
 
-def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """n / (classes * count) per class."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+def class_weights(df: DataFrame, label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
+    """n / (classes * count) per class, within each group of the columns ``by``."""
+    counts = df.groupBy(*by, label).agg(F.count("*").alias("n"))
+    if by:
+        group = Window.partitionBy(*by)
+        return counts.withColumn("weight", F.sum("n").over(group) / F.count("*").over(group) / F.col("n"))
     whole = counts.agg((F.sum("n") / F.count("*")).alias("w"))
     return counts.withColumn("weight", whole.scalar() / F.col("n"))
 
