@@ -10,6 +10,9 @@ A bucket is dealt in blocks of bounded size, candidates and queries alike, so th
 many tasks. Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest, the rest is left out
 before the search, exactly; they still ask as queries.
 
+A query that met fewer than ``k`` candidates meets all vectors of its width in a second search, in blocks of the same
+bound, so every query has ``k`` rows, or one for each candidate if there are fewer.
+
 Defined cases: null, empty, zero vectors and those holding null or non-finite components take no part; vectors
 of different length never meet; rows with a null id take no part; a repeated row counts once; a row whose id
 is the query's is never its neighbour; ties go to the smaller id; an empty table gives an empty result; further
@@ -119,14 +122,9 @@ def distances(queries: np.ndarray, vectors: np.ndarray) -> Iterator[np.ndarray]:
         yield from np.sqrt((difference * difference).sum(axis=2))
 
 
-def nearest(table: DataFrame, every: int = 100, k: int = 10, tables: int = 12, probes: int = 10, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The ``k`` nearest found of every row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
-    rows = stage(pack_vectors(table, id, vector))
-    index = hashed(without_copies(rows, k + 1), tables, 1)
-    asked = hashed(rows.where(F.col("id") % every == 0), tables, probes)
-    index, asked = stage(index), stage(asked)
-    sizes = blocks(index, "index_blocks").join(blocks(asked, "asked_blocks"), "bucket")
-    sizes = stage(sizes)
+def meet(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest of the candidates that share a bucket with each query."""
+    sizes = stage(blocks(index, "index_blocks").join(blocks(asked, "asked_blocks"), "bucket"))
 
     def dealt(side: DataFrame, own: str, other: str, flag: bool) -> DataFrame:
         """Each row in its block, once for every block of the other side."""
@@ -161,3 +159,19 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, tables: int = 12, p
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def nearest(table: DataFrame, every: int = 100, k: int = 10, tables: int = 12, probes: int = 10, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The ``k`` nearest found of every row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
+    rows = stage(pack_vectors(table, id, vector))
+    kept, queries = without_copies(rows, k + 1), rows.where(F.col("id") % every == 0)
+    index, asked = stage(hashed(kept, tables, 1)), stage(hashed(queries, tables, probes))
+    found = stage(meet(index, asked, k))
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = stage(queries.join(full, "id", "left_anti"))
+    if short.isEmpty():
+        return found
+    # one bucket per width: who met fewer than k meets every candidate, so that its answer is exact
+    width = F.octet_length("v").cast("long").alias("bucket")
+    whole = meet(kept.select(width, "id", "v"), short.select(width, "id", "v"), k)
+    return found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(whole)

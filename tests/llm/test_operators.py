@@ -235,6 +235,26 @@ def test_neighbours(frame, monkeypatch):
     assert neighbours.nearest(table.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("n, width, block", [(2, 64, 4096), (6, 64, 4096), (11, 64, 4096), (11, 300, 4096), (30, 64, 4)])
+def test_neighbours_of_few_vectors_are_whole(frame, monkeypatch, n, width, block):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    x = np.random.default_rng(n).normal(size=(n, width))
+    if n == 30:
+        # a lone vector beside two tight clusters
+        x[1:] = x[1 + np.arange(29) % 2] + 1e-3 * x[1:]
+    rows = [(100 * i, v.tolist()) for i, v in enumerate(x)]
+    # another width is no candidate
+    found = defaultdict(list)
+    for r in neighbours.nearest(frame([*rows, (7, [1.0, 2.0])], "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.rank, r.vec_id))
+    assert len(found) == n
+    for i in range(n) if n < 30 else [0]:
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        best = np.argsort(d, kind="stable")[: min(10, n - 1)]
+        assert found[100 * i] == [(k, 100 * v) for k, v in enumerate(best, 1)]
+
+
 def test_rotations_keep_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(neighbours.rotate(x, 3), axis=1), np.linalg.norm(x, axis=1))
