@@ -29,9 +29,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents written as often as their fitted rates say, so that toxic tokens are one in a hundred."""
+    """Clean documents once; of the others as many as leave at most one toxic token in a hundred. None is written twice."""
     label = F.when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 0))
-    mix = mixing.fit_mix(docs, read(spark, sf_dir, "labels"), label, MIX, "clean")
+    mix = mixing.fit_mix(docs, read(spark, sf_dir, "labels"), label, MIX, "clean", thin=True)
     return mixing.resample(docs, mix)
 
 

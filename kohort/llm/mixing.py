@@ -12,6 +12,10 @@
 Targets state weights of domains. The anchor domain keeps the tokens it has, the others follow from the
 weights, so that a mix is reached by thinning or repeating what surrounds the anchor.
 
+With ``thin`` nothing is repeated and the anchor loses nothing: documents whose likeliest domain is the anchor have rate 1,
+the others rates in [0, 1], fitted so that the expected tokens of the other domains stand to those of the anchor as their
+weights do. A domain below its weight keeps what it has.
+
 Defined cases: a null text counts as empty and has 0 tokens, and its rate has no effect on any total; labels
 for no document and null labels are ignored; repeated rows count row by row and get one rate; a null
 id is kept; further columns pass through ``resample``; an empty table gives an empty result; a target for
@@ -124,13 +128,24 @@ class Rates:
     momenta: list[float]
     converged: bool
     error: float
+    #: when thinning, the domain whose documents keep rate 1
+    kept: int | None = None
+
+    def free(self, p: np.ndarray) -> np.ndarray:
+        """Which documents are fitted."""
+        return np.ones(len(p), bool) if self.kept is None else p.argmax(axis=1) != self.kept
 
     def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rates, extrapolated rates) of documents with posteriors ``p`` after all passes so far."""
         r = z = np.ones(len(p))
+        free = self.free(p)
         for residual, momentum in zip(self.residuals, self.momenta, strict=True):
             new = np.maximum(0.0, z - self.step * (p @ residual))
+            if self.kept is not None:
+                new = np.where(free, np.minimum(1.0, new), 1.0)
             r, z = new, new + momentum * (new - r)
+            if self.kept is not None:
+                z = np.clip(z, 0.0, 1.0)
         return r, z
 
 
@@ -152,7 +167,7 @@ def _sums(rows: DataFrame, k: int, values) -> np.ndarray:
     return np.array([out[i] for i in sorted(out)])
 
 
-def fit_rates(rows: DataFrame, weights: np.ndarray, anchor: int, passes: int = 200, tolerance: float = 1e-4) -> Rates:
+def fit_rates(rows: DataFrame, weights: np.ndarray, anchor: int, passes: int = 200, tolerance: float = 1e-4, thin: bool = False) -> Rates:
     """Projected-gradient least squares with momentum over (tokens, posterior) rows.
 
     Steps are taken in the metric of the documents' tokens, so that long and short documents of one posterior get
@@ -160,32 +175,46 @@ def fit_rates(rows: DataFrame, weights: np.ndarray, anchor: int, passes: int = 2
     moving by then raises.
     """
     k = len(weights)
-    start = _sums(rows, k, lambda t, p: np.concatenate([t @ p, ((p * t[:, None]).T @ p).ravel()]))
-    if not len(start) or not start[:k].any() or not start[anchor]:
-        return Rates(0.0, [], [], True, 0.0)
-    now, spread = start[:k], start[k:].reshape(k, k)
+    one, kept = Rates(0.0, [], [], True, 0.0), anchor if thin else None
+    one.kept = kept
+    # what is summed of a posterior; when thinning, what each domain has beyond its weight beside the anchor
+    gains = np.eye(k)
+    if thin:
+        gains[anchor] -= weights / weights[anchor]
+
+    def first(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+        q, free = p @ gains, t * one.free(p)
+        return np.concatenate([t @ p, t @ q, ((q * free[:, None]).T @ q).ravel()])
+
+    start = _sums(rows, k, first)
+    if not len(start) or not start[:k].any() or not start[anchor] or not start[2 * k :].any():
+        return one
+    now, total, spread = start[:k], start[k : 2 * k], start[2 * k :].reshape(k, k)
     target = weights / weights[anchor] * now[anchor]
     size = np.linalg.norm(target)
-    found = Rates(1 / np.linalg.eigvalsh(spread)[-1], [], [], False, 0.0)
-    speed, total, last = 1.0, now, np.inf
+    if thin:
+        size = np.linalg.norm(np.delete(target, anchor)) or np.linalg.norm(now)
+        target = np.minimum(total, 0.0)
+    found = Rates(1 / np.linalg.eigvalsh(spread)[-1], [], [], False, 0.0, kept)
+    speed, last = 1.0, np.inf
     for _ in range(passes):
         residual = total - target
         error = float(np.linalg.norm(residual) / size)
         if error <= tolerance or abs(last - error) <= 1e-9:
             found.converged, found.error = True, error
             # the last extrapolation is nonnegative only after one more projection
-            found.residuals.append(residual)
+            found.residuals.append(gains @ residual)
             found.momenta.append(0.0)
             return found
         # momentum starts afresh when the error grows
         speed = 1.0 if error > last else speed
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
-        found.residuals.append(residual)
+        found.residuals.append(gains @ residual)
         found.momenta.append((speed - 1) / faster)
         speed, last = faster, error
         # a closure must not see later passes
-        frozen = Rates(found.step, list(found.residuals), list(found.momenta), False, 0.0)
-        total = _sums(rows, k, lambda t, p, f=frozen: (t * f.replay(p)[1]) @ p)
+        frozen = Rates(found.step, list(found.residuals), list(found.momenta), False, 0.0, kept)
+        total = _sums(rows, k, lambda t, p, f=frozen: (t * f.replay(p)[1]) @ (p @ gains))
     raise ValueError(f"the rates are {error:.2e} off their targets after {passes} passes")
 
 
@@ -198,7 +227,7 @@ class Mix:
     rows: DataFrame
 
 
-def fit_mix(docs: DataFrame, labels: DataFrame, label: Column, weights: dict[str, float], anchor: str, most: int = 6000, id: str = "doc_id", text: str = "text") -> Mix:
+def fit_mix(docs: DataFrame, labels: DataFrame, label: Column, weights: dict[str, float], anchor: str, most: int = 6000, id: str = "doc_id", text: str = "text", thin: bool = False) -> Mix:
     """Classify, then fit the rates. ``label`` is the position of a labelled row's domain in ``weights``."""
     names = list(weights)
     domains = Domains(training_sample(docs, labels, label, most, id, text, []), names)
@@ -213,7 +242,7 @@ def fit_mix(docs: DataFrame, labels: DataFrame, label: Column, weights: dict[str
 
     read = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = stage(read.mapInArrow(run, "id long, tokens long, posterior binary"))
-    rates = fit_rates(rows, np.array([weights[n] for n in names], float), names.index(anchor))
+    rates = fit_rates(rows, np.array([weights[n] for n in names], float), names.index(anchor), thin=thin)
     return Mix(domains, rates, rows)
 
 

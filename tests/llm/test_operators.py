@@ -342,6 +342,22 @@ def test_rates_meet_targets(spark):
     assert all(math.floor(many[i]) <= n <= math.floor(many[i]) + 1 for i, n in copies.items())
 
 
+@pytest.mark.parametrize("toxic", [3, 40, 400])
+def test_thinning_keeps_the_anchor_and_repeats_nothing(frame, toxic):
+    rng = np.random.default_rng(toxic)
+    far = rng.uniform(0.6, 0.999, toxic)
+    p = np.stack([np.concatenate([np.full(600, 0.9999), 1 - far]), np.concatenate([np.full(600, 0.0001), far])], axis=1)
+    t = rng.integers(20, 300, len(p))
+    rows = frame([(int(n), bytearray(v.tobytes())) for n, v in zip(t, p)], "tokens long, posterior binary")
+    rates = mixing.fit_rates(rows, np.array([0.99, 0.01]), 0, thin=True).replay(p)[0]
+    assert (rates[:600] == 1).all() and rates.min() >= 0 and rates.max() <= 1
+    clean, other = (t * rates) @ p
+    if toxic == 3:
+        assert (rates == 1).all()
+    else:
+        assert math.isclose(other / clean, 1 / 99, rel_tol=1e-3)
+
+
 def test_mixing_defined_cases(awkward, frame):
     weights = {"a": 0.5, "b": 0.5}
     labels = frame([(1, 0), (4, 1), (10, 1), (12, 0), (13, None), (99, 1)], "doc_id long, label int")
