@@ -95,14 +95,14 @@ def gpr_linear(spark, d):
 @query("gpr_rbf")
 def gpr_rbf(spark, d):
     f = V.features(spark, d)
-    gamma, model = process.gpr_rbf(f, 0.1, (0.2, 0.5, 1.0))
+    gamma, model = process.gpr_rbf(f, 0.1)
     return predicted(rbf_features(f, gamma), model)
 
 
 @query("linear_svr")
 def linear_svr(spark, d):
     f = V.features(spark, d)
-    return predicted(f, svr.linear_svr(f, 0.5, 0.1, max_passes=30, tol=1e-3))
+    return predicted(f, svr.linear_svr(f, 0.5, 0.1))
 
 
 @query("svr_grid_liblinear")
@@ -145,7 +145,7 @@ def per_site_ridge(spark, d):
 
 @query("per_site_svr")
 def per_site_svr(spark, d):
-    return margins.per_site_svr(V.features(spark, d), [2.0**-3, 1.0], 5, 3, max_passes=25, tol=1e-3)
+    return margins.per_site_svr(V.features(spark, d), margins.C_GRID, 5, 3)
 
 
 # ---------------------------------------------------------------- experiments

@@ -337,3 +337,30 @@ def test_leaderboard_keeps_failures(small):
     assert np.isclose(rows["least_squares"]["score"], -mae)
     front = boards.holdout_leaderboard(small[0], good, k=3).collect()
     assert len(front) >= 1 and all(r["test_mae"] > 0 for r in front)
+
+
+def test_unconverged_fits_are_told():
+    bowl = np.diag([1.0, 1e4])
+
+    def evaluate(w, delta):
+        return 0.5 * np.einsum("giq,ij,gjq->gq", w, bowl, w), np.einsum("ij,gjq->giq", bowl, w)
+
+    start, metric = np.ones((1, 2, 1)), np.eye(2)[None, None]
+    with pytest.warns(RuntimeWarning, match="1 of 1 problems have not converged"):
+        svr.minimise(evaluate, start, metric, [0.1], max_passes=3)
+
+
+def test_queries_try_the_whole_grids(monkeypatch):
+    from kohort.catalog import learning
+
+    seen = {}
+    monkeypatch.setattr(learning.V, "features", lambda spark, d: None)
+    monkeypatch.setattr(learning, "predicted", lambda f, model: None)
+    monkeypatch.setattr(learning, "rbf_features", lambda f, gamma: None)
+    monkeypatch.setattr(learning.margins, "per_site_svr", lambda f, *a, **o: seen.update(site=(a, o)))
+    monkeypatch.setattr(learning.svr, "linear_svr", lambda f, *a, **o: seen.update(linear=(a, o)))
+    monkeypatch.setattr(learning.process, "gpr_rbf", lambda f, *a, **o: seen.update(rbf=(a, o)) or (0.5, None))
+    for name in ("per_site_svr", "linear_svr", "gpr_rbf"):
+        getattr(learning, name)(None, None)
+    assert seen["site"] == (([2.0**e for e in range(-6, 2)], 5, 3), {})
+    assert seen["linear"] == ((0.5, 0.1), {}) and seen["rbf"] == ((0.1,), {})
