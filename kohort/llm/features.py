@@ -97,8 +97,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: Column, most: int
     known = labels.select(F.col(id).cast("long").alias("id"), label.alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     chosen = known.distinct().orderBy(F.xxhash64("id"), "id", "label").limit(most)
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *extra)
-    # number of rows bounded by ``most``
-    rows = own.join(F.broadcast(chosen), "id").select("label", "text", *extra)
+    # an id of many rows gives the one of the smallest text hash, so that the number of rows is bounded by ``most``
+    least = F.min(F.struct(F.xxhash64("text").alias("digest"), "text", *extra)).alias("least")
+    rows = own.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(least).select("label", "least.text", *(f"least.{c}" for c in extra))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, 1):

@@ -12,7 +12,7 @@ import numpy as np
 import oracle
 import pyarrow.fs as fs
 import pytest
-from kohort.llm import exact_dedup, jaccard, licenses, mixing, neighbours, packing, quality, queries, quotations, token_counts, warc
+from kohort.llm import exact_dedup, features, jaccard, licenses, mixing, neighbours, packing, quality, queries, quotations, token_counts, warc
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -316,6 +316,14 @@ def test_quality_defined_cases(awkward, frame):
     assert quality.keep_good(awkward.limit(0), labels).collect() == []
 
 
+def test_training_sample_is_bounded_in_rows(frame):
+    docs = frame([(1, f"text number {i}") for i in range(50)] + [(i, "other words") for i in range(2, 9)] + [(1, None)])
+    labels = frame([(i, i % 2) for i in range(1, 9)], "doc_id long, label int")
+    for most in (1, 4, 100):
+        found = features.training_sample(docs, labels, F.col("label"), most, "doc_id", "text", [])
+        assert len(found) == min(most, 8)
+
+
 def test_sum_of_squares_identity():
     random = np.random.default_rng(0)
     x, v = random.normal(size=9), random.normal(size=(9, 4))
