@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, licenses, mixing, neighbours, packing, quality, quotations, token_counts, warc
+from . import (
+    exact_dedup,
+    filter_audit,
+    fingerprints,
+    jaccard,
+    licenses,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+    quotations,
+    token_counts,
+    warc,
+    whitening,
+)
 from .common import read
 
 ORACLES: dict[str, str] = {}
@@ -136,6 +150,62 @@ ORACLES["op10_quotation_chat"] = r"""
     FROM messages m JOIN bodies b USING (message) LEFT JOIN best USING (message) LEFT JOIN linked USING (message)"""
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+#: every order step by step on the documents' sets of failed filters, without coalition values
+ORACLES["op13_filter_audit"] = r"""
+    WITH texts AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    failed AS (
+        SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+               (CASE WHEN len(words) < 100 THEN 'A' ELSE '' END) ||
+               (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END) ||
+               (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END) ||
+               (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) ||
+               (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails
+        FROM texts LEFT JOIN marks USING (doc_id)),
+    sets AS (
+        SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+        FROM failed GROUP BY part, fails),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    orders AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+        FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+        JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+    steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS earlier
+              FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    met AS (
+        SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS own, fails = f AS only_own,
+               translate(fails, earlier, '') <> fails AS gone
+        FROM steps, sets),
+    counts AS (
+        SELECT part, filter_order, step, f,
+               coalesce(sum(n) FILTER (WHERE NOT own AND NOT gone), 0) AS kept,
+               coalesce(sum(n) FILTER (WHERE own AND NOT gone), 0) AS removed,
+               coalesce(sum(n) FILTER (WHERE own AND gone), 0) AS redundant,
+               coalesce(sum(n) FILTER (WHERE only_own), 0) AS unique_fails,
+               coalesce(sum(good) FILTER (WHERE own AND NOT gone), 0) AS good_lost,
+               coalesce(sum(toxic) FILTER (WHERE own AND NOT gone), 0) AS toxic_lost
+        FROM met GROUP BY part, filter_order, step, f)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+           CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+           CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+    FROM counts"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
@@ -147,4 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quotation_chat": op10_quotation_chat,
+    "op11_whitening": op11_whitening,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_filter_audit": op13_filter_audit,
 }
