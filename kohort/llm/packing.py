@@ -16,8 +16,10 @@ over ``size`` tokens are cut into pieces, of which only the last may be shorter.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,99 +30,100 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, stage
 from .words import steps
 
-PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-#: Latin-1 letters end a word for sure: these bytes after 0xC3, without the multiplication and division signs
-LATIN = frozenset(range(0x80, 0xC0)) - {0x97, 0xB7}
-#: texts with a byte from here on may hold combining marks and go to the library as a whole
-PLAIN_BYTES = 0xCA
+PUNCTUATION = rb"[!-/:-@\[-`{-~]"
+#: the bytes after 0xC3 of the Latin-1 letters, without the multiplication and division signs
+LATIN = rb"[\x80-\x96\x98-\xb6\xb8-\xbf]"
+LETTERS = re.compile(rb"(?:[a-z]|\xc3" + LATIN + rb")+")
+#: a run of ASCII punctuation between a letter and the end of a word: a pre-token of its own
+TAIL = re.compile(PUNCTUATION + rb"(?:(?<=[a-z]" + PUNCTUATION + rb")|(?<=\xc3" + LATIN + PUNCTUATION + rb"))" + PUNCTUATION + rb"*(?![^\x20\x09-\x0d])")
+#: texts with a byte from 0xCA on may hold combining marks and go to the library as a whole
+PLAIN_BYTES = bytes(range(0xCA))
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level models write each byte: printable Latin-1 as it is, the rest from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(0x100, 0x200))
+    return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
 
 
 class Encoder:
-    """The ids of a tokenizer that lower-cases and drops white space, remembered by word."""
+    """The ids of a tokenizer that lower-cases and drops white space, remembered by word; ``end`` follows every text."""
 
-    def __init__(self, path: str, kept: int):
+    def __init__(self, path: str, kept: int, end: int):
         # a task has one core; further threads would only hold memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
+        self.tokenizer, self.kept, self.end = Tokenizer.from_file(path), kept, end
+        self.letters = byte_letters()
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.pool, self.used = np.zeros(4096, np.uint32), 0
-
-    def _keep(self, word: bytes, ids: list[int]) -> None:
-        n, at = len(self.place), self.used
-        if n >= len(self.begin):
-            self.begin, self.size = np.resize(self.begin, 2 * n), np.resize(self.size, 2 * n)
-        if at + len(ids) > len(self.pool):
-            self.pool = np.resize(self.pool, max(2 * len(self.pool), at + len(ids)))
-        self.pool[at : at + len(ids)] = ids
-        self.place[word], self.begin[n], self.size[n] = n, at, len(ids)
-        self.used = at + len(ids)
-
-    def _ids(self, word: bytes) -> list[int]:
-        n = self.place[word]
-        return self.pool[self.begin[n] : self.begin[n] + self.size[n]].tolist()
+        # no word is empty: the empty one stands for the end of a text
+        self.place: dict[bytes, int] = {b"": 0}
+        self.begin, self.size = np.zeros(1024, np.int64), np.ones(1024, np.int64)
+        self.pool, self.used = np.full(4096, self.end, np.uint32), 1
+
+    def keep(self, words: list[bytes], ids: list[list[int]]) -> None:
+        n, m = len(self.place), len(self.place) + len(words)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        if m > len(self.begin):
+            self.begin, self.size = np.resize(self.begin, 2 * m), np.resize(self.size, 2 * m)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * (self.used + len(flat)))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.begin[n:m], self.size[n:m] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.place.update(zip(words, range(n, m)))
+        self.used += len(flat)
 
     def learn(self, words: set[bytes]) -> None:
-        """Words that end in a run of ASCII punctuation after a letter are the ids of both parts."""
-        tails: list[tuple[bytes, bytes, bytes]] = []
-        direct: set[bytes] = set()
-        for word in words:
-            stem = word.rstrip(PUNCTUATION)
-            sure = stem and (97 <= stem[-1] <= 122 or (len(stem) > 1 and stem[-2] == 0xC3 and stem[-1] in LATIN))
-            if sure and len(stem) < len(word):
-                tail = word[len(stem) :]
-                tails.append((word, stem, tail))
-                direct.update(p for p in (stem, tail) if p not in self.place)
-            else:
-                direct.add(word)
-        model, odd = self.tokenizer.model, []
-        for word in direct:
-            # the byte-level form of ASCII letters is the letters themselves
-            if word.isalpha():
-                self._keep(word, [t.id for t in model.tokenize(word.decode("ascii"))])
-            else:
-                odd.append(word)
-        for word, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
-            self._keep(word, e.ids)
-        for word, stem, tail in tails:
-            self._keep(word, self._ids(stem) + self._ids(tail))
+        """A word of letters is one pre-token, which the model is asked for directly; the library cuts the others."""
+        letters = [w for w in words if LETTERS.fullmatch(w)]
+        model, spelled = self.tokenizer.model, self.letters
+        ids = []
+        for word in letters:
+            written = word.decode("ascii") if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(spelled)
+            ids.append([t.id for t in model.tokenize(written)])
+        self.keep(letters, ids)
+        others = list(words.difference(letters))
+        self.keep(others, [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split: list[list[bytes] | None] = []
-        for text in texts:
-            plain = b"<|" not in text and (text.isascii() or max(text) < PLAIN_BYTES)
-            split.append(text.translate(ASCII_LOWER).split() if plain else None)
+        """The ids of each text and then ``end``."""
         if len(self.place) > self.kept:
             self.clear()
-        unseen = {w for words in split if words for w in words if w not in self.place}
-        if unseen:
-            self.learn(unseen)
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32))
-                continue
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            size = self.size[at]
-            total = int(size.sum())
-            shift = np.repeat(self.begin[at] - np.cumsum(size) + size, size)
-            out.append(self.pool[shift + np.arange(total)])
-        return out
-
-
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
-def encoder(path: str, kept: int) -> Encoder:
+        words: list[bytes] = []
+        until, whole = [], {}
+        for i, text in enumerate(texts):
+            if b"<|" in text or text.translate(None, PLAIN_BYTES):
+                whole[i] = np.array([*self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.end], np.uint32)
+            else:
+                words += TAIL.sub(rb" \g<0>", text.translate(ASCII_LOWER)).split()
+                words.append(b"")
+            until.append(len(words))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        unseen = np.flatnonzero(at < 0)
+        if len(unseen):
+            new = [words[i] for i in unseen.tolist()]
+            self.learn(set(new))
+            at[unseen] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        size = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(self.begin[at] - ends[:-1], size) + np.arange(ends[-1])]
+        cuts = ends[np.array([0, *until])]
+        return [whole[i] if i in whole else ids[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
+
+
+_encoders: dict[tuple[str, int, int], Encoder] = {}
+
+
+def encoder(path: str, kept: int, end: int) -> Encoder:
     """One encoder a worker, so that the words of earlier tasks need not be looked up again."""
-    if (path, kept) not in _encoders:
-        _encoders[path, kept] = Encoder(path, kept)
-    return _encoders[path, kept]
+    if (path, kept, end) not in _encoders:
+        _encoders[path, kept, end] = Encoder(path, kept, end)
+    return _encoders[path, kept, end]
 
 
 def fill(counts: np.ndarray, size: int) -> list[tuple[list[int], int]]:
@@ -217,12 +220,12 @@ def schedule(plan: list[tuple[list[int], int]], size: int) -> dict[str, np.ndarr
 
 def pieces(docs: DataFrame, path: str, size: int, end: int, id: str, text: str, kept: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = encoder(path, kept), TaskContext.get().partitionId()
+        words, part = encoder(path, kept, end), TaskContext.get().partitionId()
         ranks = np.zeros(size + 1, np.int64)
         for batch, texts in steps(batches, 1):
             out: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode(texts), strict=True):
-                ids = np.append(ids, np.uint32(end)).astype("<u4")
+                ids = ids.astype("<u4", copy=False)
                 for number, start in enumerate(range(0, len(ids), size)):
                     own = ids[start : start + size]
                     out.append((doc, number, start, len(own), zlib.crc32(own.tobytes()), part, int(ranks[len(own)])))
