@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, tasks, text_bytes
+from .common import give_back, small_batches, stage
+from .words import steps
 
 #: fixed value: the byte-level pre-token rule of the tokenizer file
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: distinct words held by one task
-HELD = 500_000
+#: distinct words that the first pass holds in a task, and words and rare pre-tokens that the second remembers
+HELD, LEARNT = 250_000, 100_000
 #: the most bytes a pre-token of the broadcast head may have
 HEAD_BYTES = 48
 PLAIN = re.compile(r"[\x00-ɏ]*\Z")
@@ -101,21 +103,23 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         cutter, first, later, whole = PreTokens(path), Counter(), Counter(), Counter()
 
         def flush() -> pa.RecordBatch:
-            found = Counter(whole)
+            # words leave one by one as their pre-tokens are counted
             for space, held in (("", first), (" ", later)):
-                for word, n in held.items():
+                while held:
+                    word, n = held.popitem()
                     for pre_token in cutter.cut(space + word):
-                        found[pre_token] += n
-            for held in (first, later, whole):
-                held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["pre_token", "n"]
+                        whole[pre_token] += n
+            found = pa.RecordBatch.from_arrays(
+                [pa.array(whole.keys(), pa.string(), size=len(whole)), pa.array(whole.values(), pa.int64(), size=len(whole))], ["pre_token", "n"]
             )
+            whole.clear()
+            return found
 
-        for batch in small_batches(batches):
-            for value in batch.column(0).to_pylist():
+        for _, texts in steps(batches, 0):
+            for value in texts:
                 if not value:
                     continue
+                value = value.decode()
                 words = cutter.words(value)
                 if words is None or any(map(cutter.unsure, set(words))):
                     whole.update(cutter.whole(value)[1])
@@ -126,6 +130,7 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 yield flush()
         if first or whole:
             yield flush()
+        give_back()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = PreTokens(path)
@@ -134,6 +139,7 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int32())], ["pre_token", "frequency", "n_pieces"]
             )
+        give_back()
 
     found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(frequencies, "pre_token string, n long")
     distinct = found.groupBy("pre_token").agg(F.sum("n").alias("frequency"))
@@ -141,21 +147,23 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 class Tally:
-    """Counts the known pieces of texts word by word and names their rare pre-tokens; words are learnt once."""
+    """Counts the known pieces of texts word by word and names their rare pre-tokens.
 
-    def __init__(self, cutter: PreTokens, counts: dict[str, int]):
-        self.cutter, self.counts = cutter, counts
+    Words are learnt once and forgotten together when more than ``learnt`` of them, or of rare pre-tokens, are held.
+    """
+
+    def __init__(self, cutter: PreTokens, counts: dict[str, int], learnt: int = LEARNT):
+        self.cutter, self.counts, self.learnt = cutter, counts, learnt
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.known = np.zeros(1024, np.int64)
+        self.known, self.odd = np.zeros(1024, np.int64), np.zeros(1024, bool)
         # each word has at most a few rare pre-tokens: rare[begin:begin + size]
         self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.rare: list[int] = []
         self.names: list[str] = []
         self.number: dict[str, int] = {}
-        self.unsure: set[str] = set()
 
     def rare_number(self, pre_token: str) -> int:
         if pre_token not in self.number:
@@ -164,49 +172,64 @@ class Tally:
         return self.number[pre_token]
 
     def learn(self, words: set[str]) -> None:
-        for word in words:
-            n = len(self.place)
-            if n >= len(self.known):
-                self.known, self.begin, self.size = (np.resize(x, 2 * n) for x in (self.known, self.begin, self.size))
-            if self.cutter.unsure(word):
-                self.unsure.add(word)
+        most = len(self.place) + len(words)
+        if most > len(self.known):
+            self.known, self.odd, self.begin, self.size = (np.resize(x, 2 * most) for x in (self.known, self.odd, self.begin, self.size))
+        for n, word in enumerate(words, len(self.place)):
             parts = self.cutter.cut(" " + word)
             rare = [self.rare_number(p) for p in parts if p not in self.counts]
             self.place[word], self.known[n] = n, sum(self.counts.get(p, 0) for p in parts)
-            self.begin[n], self.size[n] = len(self.rare), len(rare)
+            self.odd[n], self.begin[n], self.size[n] = self.cutter.unsure(word), len(self.rare), len(rare)
             self.rare += rare
 
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens known per text), and the rare pre-tokens: text, number, frequency."""
-        if len(self.place) > HELD:
+        if max(len(self.place), len(self.names)) > self.learnt:
             self.clear()
-        split = [self.cutter.words(t) if t else None for t in texts]
-        self.learn({w for words in split if words for w in words[1:] if w not in self.place})
-        total, owners, numbers = np.zeros(len(texts), np.int64), [], []
-        for i, (text, words) in enumerate(zip(texts, split, strict=True)):
+        words: list[str] = []
+        heads: list[str | None] = []
+        until = [0]
+        for text in texts:
+            cut = self.cutter.words(text) if text else None
+            if cut is None or self.cutter.unsure(cut[0]):
+                heads.append(None)
+            else:
+                heads.append(cut[0])
+                words += cut[1:]
+            until.append(len(words))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        unseen = np.flatnonzero(at < 0)
+        if len(unseen):
+            new = [words[i] for i in unseen.tolist()]
+            self.learn(set(new))
+            at[unseen] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        text_of = np.repeat(np.arange(len(texts)), np.diff(until))
+        # texts with a word that borders on other white space are cut as a whole
+        odd = np.bincount(text_of[self.odd[at]], minlength=len(texts)) > 0
+        sure = ~odd[text_of]
+        at, text_of = at[sure], text_of[sure]
+        total = np.bincount(text_of, self.known[at], len(texts)).astype(np.int64)
+        size = self.size[at]
+        owner = np.repeat(text_of, size)
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        rare = np.array(self.rare, np.int64)[np.repeat(self.begin[at], size) + within] if len(within) else within
+        apart: list[tuple[int, int, int]] = []
+        for i, (text, head) in enumerate(zip(texts, heads, strict=True)):
             if not text:
                 continue
-            if words is None or self.cutter.unsure(words[0]) or (self.unsure and not self.unsure.isdisjoint(words)):
-                special, apart = self.cutter.whole(text)
+            if head is None or odd[i]:
+                special, found = self.cutter.whole(text)
                 total[i] += special
             else:
-                at = np.fromiter(map(self.place.__getitem__, words[1:]), np.int64, len(words) - 1)
-                total[i] += self.known[at].sum()
-                at = at[self.size[at] > 0]
-                for j in range(int(self.size[at].max()) if len(at) else 0):
-                    own = at[self.size[at] > j]
-                    numbers.append((i, self.begin[own] + j))
-                apart = Counter(self.cutter.cut(words[0]))
-            for p, n in apart.items():
+                found = Counter(self.cutter.cut(head))
+            for p, n in found.items():
                 if p in self.counts:
                     total[i] += n * self.counts[p]
                 else:
-                    owners.append((i, self.rare_number(p), n))
-        rare = np.array(self.rare, np.int64) if numbers else np.zeros(0, np.int64)
-        owner = np.concatenate([np.repeat(i, len(x)) for i, x in numbers] + [np.array([o[0] for o in owners], np.int64)])
-        number = np.concatenate([rare[x] for _, x in numbers] + [np.array([o[1] for o in owners], np.int64)])
-        weight = np.concatenate([np.ones(len(owner) - len(owners), np.int64), np.array([o[2] for o in owners], np.int64)])
-        key, place = np.unique((owner << 40) + number, return_inverse=True)
+                    apart.append((i, self.rare_number(p), n))
+        own, number, times = np.array(apart, np.int64).reshape(-1, 3).T
+        weight = np.concatenate([np.ones(len(owner), np.int64), times])
+        key, place = np.unique((np.concatenate([owner, own]) << 40) + np.concatenate([rare, number]), return_inverse=True)
         times = np.bincount(place, weight, len(key)).astype(np.int64) if len(key) else np.zeros(0, np.int64)
         return total, key >> 40, key & ((1 << 40) - 1), times
 
@@ -224,9 +247,9 @@ def token_counts(
     def reduce_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally(PreTokens(path), known.value)
         row = TaskContext.get().partitionId() << 40
-        for batch in small_batches(batches):
-            sizes = np.array(list(map(len, text_bytes(batch.column(1)))), np.int64)
-            total, owner, number, times = tally.batch(batch.column(1).to_pylist())
+        for batch, texts in steps(batches, 1):
+            sizes = np.array(list(map(len, texts)), np.int64)
+            total, owner, number, times = tally.batch([t.decode() for t in texts])
             # a text without rare pre-tokens gets a filler that has no pieces
             without = np.setdiff1d(np.arange(len(total)), owner)
             names = [tally.names[i] for i in number.tolist()] + [f"\x00{(row + i) % 65_536}" for i in without.tolist()]
@@ -246,6 +269,8 @@ def token_counts(
                 ["row", "pre_token", "n", "doc", "size", "total"],
             )
             row += len(total)
+        tally.clear()
+        give_back()
 
     frequencies = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
         reduce_documents, "row long, pre_token string, n int, doc long, size long, total long"
