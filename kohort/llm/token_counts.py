@@ -41,6 +41,13 @@ HEAD_BYTES = 48
 PLAIN = re.compile(r"[\x00-ɏ]*\Z")
 #: after letters these surely begin a pre-token of their own
 ENDS = frozenset(".,;:!?")
+#: a run of ASCII punctuation between a letter and a space or the end: a pre-token of its own, with no space before it
+MARK, LETTER = r"[!-/:-@\[-`{-~]", r"[A-Za-zÀ-ÖØ-öø-ÿ]"
+TAIL = re.compile(f"{MARK}(?<={LETTER}{MARK}){MARK}*(?= |\\Z)")
+#: begins a word that such a run makes
+JOINED = "\x00"
+#: other white space beside a space or at an end of the text
+UNSURE = re.compile(r"[^\S ](?:(?= |\Z)|(?<= [^\S ])|(?<=\A[^\S ]))")
 
 
 class PreTokens:
@@ -57,17 +64,19 @@ class PreTokens:
         self.at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def words(self, text: str) -> list[str] | None:
-        """The text cut at its spaces, None where spaces meet or a special token occurs and it must be cut as a whole.
+        """The text cut at its spaces and before punctuation that ends a word, None where it must be cut as a whole.
 
-        A word may still border on other white space; see ``unsure``.
+        That is where spaces meet, other white space borders on a space or an end, or a special token occurs.
         """
-        words = text.split(" ")
-        return None if "" in words or any(s in text for s in self.special) else words
+        if "  " in text or JOINED in text or text[0] == " " or text[-1] == " " or UNSURE.search(text) or any(s in text for s in self.special):
+            return None
+        return TAIL.sub(rf" {JOINED}\g<0>", text).split(" ")
 
-    @staticmethod
-    def unsure(word: str) -> bool:
-        """Whether white space at the word's border may belong with the space beside it."""
-        return word[0].isspace() or word[-1].isspace()
+    def after_space(self, word: str) -> list[str]:
+        """The pre-tokens of a word of ``words`` other than the first."""
+        if word[0] == JOINED:
+            return [word[1:]]
+        return self.cut(" " + word)
 
     def cut(self, piece: str) -> list[str]:
         """The pre-tokens of a piece of text without special tokens."""
@@ -104,10 +113,10 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             # words leave one by one as their pre-tokens are counted
-            for space, held in (("", first), (" ", later)):
+            for cut, held in ((cutter.cut, first), (cutter.after_space, later)):
                 while held:
                     word, n = held.popitem()
-                    for pre_token in cutter.cut(space + word):
+                    for pre_token in cut(word):
                         whole[pre_token] += n
             found = pa.RecordBatch.from_arrays(
                 [pa.array(whole.keys(), pa.string(), size=len(whole)), pa.array(whole.values(), pa.int64(), size=len(whole))], ["pre_token", "n"]
@@ -121,7 +130,7 @@ def vocabulary(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     continue
                 value = value.decode()
                 words = cutter.words(value)
-                if words is None or any(map(cutter.unsure, set(words))):
+                if words is None:
                     whole.update(cutter.whole(value)[1])
                 else:
                     first[words[0]] += 1
@@ -158,7 +167,7 @@ class Tally:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.known, self.odd = np.zeros(1024, np.int64), np.zeros(1024, bool)
+        self.known = np.zeros(1024, np.int64)
         # each word has at most a few rare pre-tokens: rare[begin:begin + size]
         self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.rare: list[int] = []
@@ -166,21 +175,29 @@ class Tally:
         self.number: dict[str, int] = {}
 
     def rare_number(self, pre_token: str) -> int:
-        if pre_token not in self.number:
-            self.number[pre_token] = len(self.names)
+        n = self.number.setdefault(pre_token, len(self.names))
+        if n == len(self.names):
             self.names.append(pre_token)
-        return self.number[pre_token]
+        return n
 
     def learn(self, words: set[str]) -> None:
-        most = len(self.place) + len(words)
+        first, most = len(self.place), len(self.place) + len(words)
         if most > len(self.known):
-            self.known, self.odd, self.begin, self.size = (np.resize(x, 2 * most) for x in (self.known, self.odd, self.begin, self.size))
-        for n, word in enumerate(words, len(self.place)):
-            parts = self.cutter.cut(" " + word)
-            rare = [self.rare_number(p) for p in parts if p not in self.counts]
-            self.place[word], self.known[n] = n, sum(self.counts.get(p, 0) for p in parts)
-            self.odd[n], self.begin[n], self.size[n] = self.cutter.unsure(word), len(self.rare), len(rare)
-            self.rare += rare
+            self.known, self.begin, self.size = (np.resize(x, 2 * most) for x in (self.known, self.begin, self.size))
+        counts, known, begin = self.counts, [], []
+        for word in words:
+            begin.append(len(self.rare))
+            total = 0
+            for part in [" " + word] if word.isalpha() and word.isascii() else self.cutter.after_space(word):
+                n = counts.get(part)
+                if n is None:
+                    self.rare.append(self.rare_number(part))
+                else:
+                    total += n
+            known.append(total)
+        self.known[first:most], self.begin[first:most] = known, begin
+        self.size[first:most] = np.diff([*begin, len(self.rare)])
+        self.place.update(zip(words, range(first, most)))
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens known per text), and the rare pre-tokens: text, number, frequency."""
@@ -191,7 +208,7 @@ class Tally:
         until = [0]
         for text in texts:
             cut = self.cutter.words(text) if text else None
-            if cut is None or self.cutter.unsure(cut[0]):
+            if cut is None:
                 heads.append(None)
             else:
                 heads.append(cut[0])
@@ -204,10 +221,6 @@ class Tally:
             self.learn(set(new))
             at[unseen] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
         text_of = np.repeat(np.arange(len(texts)), np.diff(until))
-        # texts with a word that borders on other white space are cut as a whole
-        odd = np.bincount(text_of[self.odd[at]], minlength=len(texts)) > 0
-        sure = ~odd[text_of]
-        at, text_of = at[sure], text_of[sure]
         total = np.bincount(text_of, self.known[at], len(texts)).astype(np.int64)
         size = self.size[at]
         owner = np.repeat(text_of, size)
@@ -217,7 +230,7 @@ class Tally:
         for i, (text, head) in enumerate(zip(texts, heads, strict=True)):
             if not text:
                 continue
-            if head is None or odd[i]:
+            if head is None:
                 special, found = self.cutter.whole(text)
                 total[i] += special
             else:
