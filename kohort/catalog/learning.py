@@ -6,6 +6,7 @@ from ..operators import linear, process, svr, trees
 from ..operators import moments as mom
 from ..operators.scoring import predict_column
 from ..operators.features import rbf_features
+from ..operators.isometry import shorten
 from ..plans import experiments as X
 from ..plans import margins
 from . import views as V
@@ -107,21 +108,39 @@ def linear_svr(spark, d):
 
 @query("svr_grid_liblinear")
 def svr_grid_liblinear(spark, d):
-    grid = [
-        {"c": c, "epsilon": e, "loss": loss}
-        for loss in ("epsilon_insensitive", "squared")
-        for c in (2.0**-6, 2.0**-3, 1.0, 2.0)
-        for e in (1e-4, 1e-2, 1.0)
-    ]
-    out = margins.svr_grid(V.features(spark, d), grid, max_passes=30, tol=1e-3)
-    rows = [(g["param_pos"], g["loss"], g["c"], g["epsilon"], round(g["mae"], 6)) for g in out]
-    return spark.createDataFrame(rows, "param_pos int, loss string, c double, epsilon double, mae double")
+    out = margins.svr_grid(V.features(spark, d), margins.linear_grid())
+    rows = [(g["param_pos"], g["loss"], g["dual"], g["tol"], g["c"], g["epsilon"], round(g["mae"], 6), g["gap"]) for g in out]
+    return spark.createDataFrame(rows, "param_pos int, loss string, dual boolean, tol double, c double, epsilon double, mae double, gap double")
+
+
+@query("nested_svr")
+def nested_svr(spark, d):
+    return margins.nested_svr(V.features(spark, d), margins.C_GRID, 5, 5)[0]
+
+
+@query("holdout_svr")
+def holdout_svr(spark, d):
+    f = V.features(spark, d)
+    return margins.holdout_svr(f.where("position % 4 <> 0"), f.where("position % 4 = 0"))[0]
+
+
+@query("holdout_svr_per_site")
+def holdout_svr_per_site(spark, d):
+    f = V.features(spark, d)
+    return margins.holdout_svr(f.where("position % 4 <> 0"), f.where("position % 4 = 0"), site="site")[0]
+
+
+@query("linear_svr_wide")
+def linear_svr_wide(spark, d):
+    """Rows of 4,160 values, each feature vector with all its pairwise products: fitted in the span of the subjects."""
+    products = F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: a * b)))
+    short = shorten(V.features(spark, d).withColumn("x", F.concat("x", products))).rows
+    return predicted(short, svr.linear_svr(short, 0.5, 0.1))
 
 
 @query("weighted_classifier")
 def weighted_classifier(spark, d):
-    out = margins.weighted_classifier(V.features(spark, d), c=1.0, k=2, max_passes=20)
-    return out
+    return margins.weighted_classifier(V.features(spark, d), c=1.0, k=5, gap=1e-2)
 
 
 @query("decision_tree")

@@ -63,3 +63,34 @@ def sum_arrays(df: DataFrame, column: str, by: list[str] | None = None, fan_in:
     partial = sliced.groupBy(*by, "_s").agg(Summarizer.sum(F.col("_v")).alias("_v"))
     total = partial.groupBy(*by).agg(Summarizer.sum(F.col("_v")).alias("_v"))
     return total.select(*by, vector_to_array("_v").alias(column))
+
+
+#: numbers in one slice of a summed array
+SLICE = 4096
+
+
+def sliced(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """What a task returns for ``sum_slices``: its array of each group, cut into slices."""
+    groups, parts, slices = [], [], []
+    for g, s in sums.items():
+        for part, start in enumerate(range(0, s.size, SLICE)):
+            groups.append(g)
+            parts.append(part)
+            slices.append(s.ravel()[start : start + SLICE])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(groups, pa.int32()), pa.array(parts, pa.int32()), pa.array(slices, pa.list_(pa.float64()))], ["g", "part", "s"]
+    )
+
+
+def sum_slices(df: DataFrame) -> dict[int, np.ndarray]:
+    """{group: array} summed over the rows (g, part, s) of all tasks, for passes that repeat.
+
+    One shuffle by slice: a reducer adds up one slice of every task as they come, so neither a task nor the driver reads
+    the whole arrays of a large stage, and the driver gets one array per group.
+    """
+    added = df.groupBy("g", "part").agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
+    rows = sorted((r["g"], r["part"], r["s"]) for r in added.collect())
+    found: dict[int, list] = {}
+    for g, _, s in rows:
+        found.setdefault(g, []).append(s)
+    return {g: np.concatenate(s) for g, s in found.items()}

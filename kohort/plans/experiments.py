@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features as prep
-from ..operators.folds import fold_starts, kfold_contiguous, kfold_shuffled
+from ..operators.folds import fold_starts, kfold_contiguous, kfold_shuffled, literal
 from ..operators.linear import Coefficients
 from ..operators.moments import Moments, collect_moments, total
 from ..operators.ranks import order_statistics
@@ -104,17 +104,18 @@ def nested_folds(df: DataFrame, position: str = "position", outer: int = 5, inne
     """
     rows = kfold_shuffled(df, "subject_id", outer, seed)
     training = rows.select(position, "subject_id", "fold", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))).alias("o"))
-    training = training.where(F.col("o") != F.col("fold"))
-    cuts = order_statistics(training, position, lambda n: fold_starts(n, inner), ["o"], tie="subject_id")
+    exact = F.struct(F.col(position).alias("p"), F.col("subject_id").alias("i"))
+    training = training.where(F.col("o") != F.col("fold")).withColumn("_exact", exact)
+    cuts = order_statistics(training, position, lambda n: fold_starts(n, inner), ["o"], tie="_exact")
     by_outer: dict[int, list[tuple]] = {o: [] for o in range(outer)}
     for r in cuts.collect():
         by_outer[r["o"]].append((r["value"], r["tie"]))
     inner_folds = []
-    kind = df.schema["subject_id"].dataType
-    # equal positions are told apart by id, so that ties are dealt out as well
-    me = F.struct(F.col(position).cast("double").alias("value"), F.col("subject_id").alias("tie"))
+    kind = training.schema["_exact"].dataType
+    # positions that fall together as doubles are told apart by their own value, equal ones by id
+    me = F.struct(F.col(position).cast("double").alias("value"), exact.alias("tie"))
     for o in range(outer):
-        cut = [F.struct(F.lit(v).alias("value"), F.lit(t).cast(kind).alias("tie")) for v, t in sorted(by_outer[o])]
+        cut = [F.struct(F.lit(v).alias("value"), literal(t, kind).alias("tie")) for v, t in sorted(by_outer[o])]
         passed = sum((F.when(me >= c, 1).otherwise(0) for c in cut), F.lit(0))
         inner_folds.append(F.when(F.col("fold") == o, F.lit(-1)).otherwise(passed))
     return rows.withColumn("inner", F.array(*inner_folds))

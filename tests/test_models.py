@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kohort.operators import features as prep
-from kohort.operators import gram, linear, moments, neighbours, process, svr, trees
+from kohort.operators import gram, linear, moments, neighbours, newton, process, svr, trees
 from kohort.operators.sites import per_site_ridge
 from kohort.plans import experiments as X
 from kohort.plans import leaderboard as boards
@@ -76,7 +76,7 @@ def test_lasso_cv_picks_from_path(small):
 @pytest.mark.parametrize("c", [2.0**-6, 0.5, 2.0])
 def test_svr_duality_gap(small, c):
     df, x, y, _ = small
-    b, w = svr.linear_svr(df, c, 0.1, smoothing=0.01, max_passes=150, tol=1e-5)
+    b, w = svr.linear_svr(df, c, 0.1)
     r = x @ w + b - y
     primal = 0.5 * w @ w + c * np.maximum(np.abs(r) - 0.1, 0).sum()
 
@@ -91,7 +91,7 @@ def test_svr_duality_gap(small, c):
 
 def test_squared_loss_is_stationary(small):
     df, x, y, _ = small
-    b, w = svr.linear_svr(df, 1.0, 0.2, "squared", tol=1e-8, max_passes=100)
+    b, w = svr.linear_svr(df, 1.0, 0.2, "squared", gap=1e-10)
     r = x @ w + b - y
     slope = 2 * np.sign(r) * np.maximum(np.abs(r) - 0.2, 0)
     assert np.abs(w + x.T @ slope).max() < 1e-3 and abs(slope.sum()) < 1e-3
@@ -108,7 +108,7 @@ def test_site_models_equal_separate_fits(small):
 
 def test_site_svr_equals_separate_nested_svr(small):
     df, *_ = small
-    options = {"max_passes": 120, "tol": 1e-5}
+    options = {"gap": 1e-5}
     grid = [2.0**-4, 1.0]
     both = margins.per_site_svr(df, grid, 3, 2, **options).toPandas().set_index("subject_id").prediction
     assert both.notna().all() and len(both) == 60
@@ -339,15 +339,9 @@ def test_leaderboard_keeps_failures(small):
     assert len(front) >= 1 and all(r["test_mae"] > 0 for r in front)
 
 
-def test_unconverged_fits_are_told():
-    bowl = np.diag([1.0, 1e4])
-
-    def evaluate(w, delta):
-        return 0.5 * np.einsum("giq,ij,gjq->gq", w, bowl, w), np.einsum("ij,gjq->giq", bowl, w)
-
-    start, metric = np.ones((1, 2, 1)), np.eye(2)[None, None]
-    with pytest.warns(RuntimeWarning, match="1 of 1 problems have not converged"):
-        svr.minimise(evaluate, start, metric, [0.1], max_passes=3)
+def test_open_fits_raise(small):
+    with pytest.raises(newton.NotConverged, match="1 of 1 problems"):
+        svr.linear_svr(small[0], 1.0, 0.1, max_passes=3)
 
 
 def test_queries_try_the_whole_grids(monkeypatch):
