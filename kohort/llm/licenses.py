@@ -128,7 +128,7 @@ class Scanner:
         """n_words, n_base, first_word, last_word, base_labels, labels, score."""
         words = text.translate(WORD).split()
         line = " " + b" ".join(words).decode("latin-1") + " " if words else ""
-        places, base, more, freedom, tagged = [], set(), set(), [], False
+        places, base, more, tagged = [], set(), set(), False
         for end, phrase in self.automaton.iter(line):
             if phrase in BASE:
                 places.append(end - len(phrase) - 1)
@@ -137,12 +137,13 @@ class Scanner:
                 tagged = True
             else:
                 more.add(NOTICES[phrase])
+        freedom = [FREEDOM[x] for x in base | more]
+        # the tag's words are frequent without a tag; the expression is read where the tag itself stands
         if tagged:
             for expression in TAG_TEXT.findall(text.decode("utf-8", "replace").lower()):
                 labels, free = evaluate(expression)
                 more |= labels
                 freedom += [] if free is None else [free]
-        freedom += [FREEDOM[x] for x in base | more if x in FREEDOM and not tagged]
         first = line.count(" ", 0, min(places)) if places else None
         last = line.count(" ", 0, max(places)) if places else None
         both = base | more
@@ -153,7 +154,7 @@ SCHEMA = "id long, n_words long, n_base long, first_word long, last_word long, b
 
 
 def license_scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Licence labels of every text; ``score`` is the freedom of its strictest notice, 0 where it has none."""
+    """Licence labels of every text; ``score`` is the freedom of its strictest expression or notice, 0 where it has none."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()

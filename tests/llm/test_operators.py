@@ -103,6 +103,23 @@ def test_normaliser_writes_members_and_index(tmp_path):
     assert fs.FileSystem.from_uri(f"file://{target}")
 
 
+@pytest.mark.parametrize(
+    "text, labels, score",
+    [
+        ("SPDX License Identifier list. MIT License", "mit", 0.95),
+        ("SPDX-License-Identifier: MIT\nGNU General Public License", "gpl,mit", 0.3),
+        ("SPDX-License-Identifier: LicenseRef-X\nAll rights reserved.", "licenseref-x,proprietary", 0.0),
+        ("SPDX-License-Identifier: (MIT OR GPL-3.0-only) AND Apache-2.0", "apache,gpl,mit", 0.9),
+        ("spdx-license-identifier: MIT\nSPDX-License-Identifier: GPL-2.0-or-later WITH x", "gpl-with-x,mit", 0.65),
+        ("SPDX-License-Identifier:", "", 0.0),
+        ("no licence at all", "", 0.0),
+    ],
+)
+def test_strictest_of_expressions_and_notices(frame, text, labels, score):
+    row = licenses.license_scan(frame([(1, text)])).first()
+    assert (row.labels, row.score) == (labels, score)
+
+
 def test_licences(awkward):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for r in licenses.license_scan(awkward.where("doc_id IS NOT NULL")).join(awkward.select("doc_id", "text"), "doc_id").collect():
