@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 MAE_GATE = 7.0
 LARGEST_DOUBLE = 1.7976931348623157e308
+LARGEST_FLOAT = 3.4028234663852886e38
 
 
 def strip_key_suffix(key: Column, suffix: str = "_raw/") -> Column:
@@ -54,13 +55,13 @@ def as_float32(values: Column) -> Column:
     return F.transform(F.transform(values, lambda v: v.cast("float")), lambda v: v.cast("double"))
 
 
-def fill_nonfinite(values: Column) -> Column:
-    """NaN and NULL become 0, infinities the largest finite double of their sign."""
+def fill_nonfinite(values: Column, largest: float = LARGEST_DOUBLE) -> Column:
+    """NaN and NULL become 0, infinities the ``largest`` finite value of their sign."""
     return F.transform(
         values,
         lambda v: F.when(v.isNull() | F.isnan(v), F.lit(0.0))
-        .when(v == F.lit(float("inf")), F.lit(LARGEST_DOUBLE))
-        .when(v == F.lit(float("-inf")), F.lit(-LARGEST_DOUBLE))
+        .when(v == F.lit(float("inf")), F.lit(largest))
+        .when(v == F.lit(float("-inf")), F.lit(-largest))
         .otherwise(v),
     )
 

@@ -12,7 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fill_nonfinite, id_from_path
+from ..functions.scalars import LARGEST_FLOAT, fill_nonfinite, id_from_path
 from ..session import qualified
 
 # Fixed values of the public NIfTI-1 format: data type code to numpy type.
@@ -99,10 +99,12 @@ def decode_files(files: DataFrame, decode: Callable[[bytes], np.ndarray]) -> Dat
 def scan_array_files(spark: SparkSession, folder: str) -> DataFrame:
     """Flattened arrays of ``.npy`` files with non-finite values replaced: (subject_id, x, shape, error).
 
+    Arrays are read in single precision, so infinities become the largest single-precision value of their sign.
     A file that cannot be read keeps its row, without an array and with its error.
     """
     decoded = decode_files(scan_files(spark, folder, ".npy"), decode_npy)
-    return decoded.select("subject_id", fill_nonfinite(F.col("x").cast("array<double>")).alias("x"), "shape", "error")
+    filled = fill_nonfinite(F.col("x").cast("array<double>"), LARGEST_FLOAT)
+    return decoded.select("subject_id", filled.alias("x"), "shape", "error")
 
 
 def convert_volumes(spark: SparkSession, folder: str, target: str) -> DataFrame:

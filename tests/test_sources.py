@@ -92,3 +92,10 @@ def test_metric_table(spark):
     scores = spark.createDataFrame([("a", -4.5), ("b", 3.0)], "model string, score double")
     got = {r["model"]: r["mae"] for r in tables.metric_table([scores], {"c": 5.0}).collect()}
     assert got == {"a": 4.5, "b": 3.0, "c": 5.0}
+
+
+def test_infinite_voxels_become_the_largest_float(spark, tmp_path):
+    values = np.array([1.5, np.inf, -np.inf, np.nan], np.float32)
+    np.save(tmp_path / "sub1_gm.npy", values)
+    row = volumes.scan_array_files(spark, str(tmp_path)).first()
+    assert row.x == [1.5, float(np.finfo(np.float32).max), float(np.finfo(np.float32).min), 0.0]
