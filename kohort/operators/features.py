@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import collect_sum, list_array, matrix, sum_arrays
+from .digits import column_quantiles
 from .folds import shuffle_key
 from .linear import ols
 from .moments import Moments, collect_moments, total
-from .ranks import average_ranks, exact_quantiles
+from .ranks import average_ranks
+
+QUARTILES = [0.25, 0.5, 0.75]
 
 
 def literal(values) -> Column:
@@ -52,22 +55,14 @@ def map_matrix(df: DataFrame, fn, x: str = "x") -> DataFrame:
 # ---------------------------------------------------------------- scaling and imputation
 
 
-def long_form(df: DataFrame, by: list[str] | None = None, x: str = "x") -> DataFrame:
-    return df.select(*(by or []), F.posexplode(F.transform(x, lambda v: F.when(~F.isnan(v), v))).alias("column", "value"))
-
-
-def robust_parameters(df: DataFrame, by: list[str] | None = None, x: str = "x", **options) -> DataFrame:
-    """(by, column, median, scale): exact quartiles; a zero range scales by 1."""
-    by = by or []
-    q = exact_quantiles(long_form(df, by, x), "value", [0.25, 0.5, 0.75], [*by, "column"], **options)
-    width = F.col("q")[2] - F.col("q")[0]
-    scale = F.when(width == 0, F.lit(1.0)).otherwise(width)
-    return q.select(*by, "column", F.col("q")[1].alias("median"), scale.alias("scale"))
+def robust_affine(q: np.ndarray) -> Affine:
+    """(x - median) / range of the quartiles ``q`` (columns x 3); a zero range scales by 1."""
+    width = q[:, 2] - q[:, 0]
+    return Affine(q[:, 1], np.diag(1 / np.where(width == 0, 1.0, width)))
 
 
-def collect_robust(df: DataFrame, x: str = "x", **options) -> Affine:
-    rows = sorted(robust_parameters(df, None, x, **options).collect(), key=lambda r: r["column"])
-    return Affine(np.array([r["median"] for r in rows]), np.diag([1 / r["scale"] for r in rows]))
+def collect_robust(df: DataFrame, x: str = "x") -> Affine:
+    return robust_affine(column_quantiles(df, QUARTILES, x)[0])
 
 
 def robust_scale(df: DataFrame, fitted: Affine, x: str = "x") -> DataFrame:
@@ -77,9 +72,8 @@ def robust_scale(df: DataFrame, fitted: Affine, x: str = "x") -> DataFrame:
     return df.withColumn(x, F.zip_with(shifted, literal(scale), lambda v, s: v / s))
 
 
-def column_medians(df: DataFrame, x: str = "x", **options) -> list[float]:
-    q = exact_quantiles(long_form(df, None, x), "value", [0.5], ["column"], **options)
-    return [r["q"][0] for r in sorted(q.collect(), key=lambda r: r["column"])]
+def column_medians(df: DataFrame, x: str = "x") -> list[float]:
+    return column_quantiles(df, [0.5], x)[0, :, 0].tolist()
 
 
 def impute_median(df: DataFrame, medians: list[float], x: str = "x") -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import abs_error
 from .arrays import list_array, matrix, sum_arrays
-from .ranks import exact_quantiles, rank_table
+from .digits import column_quantiles
+from .ranks import rank_table
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -27,25 +28,19 @@ def summary_stats(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def long_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value) rows of numeric columns."""
-    doubles = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns])
-    return doubles.unpivot([], columns, "column", "value")
-
-
 def describe_all(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, sample sd, min, exact quartiles and max of every column."""
-    rows = long_columns(df, columns).where("value IS NOT NULL")
-    simple = rows.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    """count, mean, sample sd, min, exact quartiles and max of every column; NULL and NaN count as missing."""
+    doubles = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(str(i)) for i, c in enumerate(columns)])
+    measures = {"count": F.count, "mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max}
+    simple = doubles.agg(
+        F.array(*[F.struct(F.lit(i).alias("i"), *[m(f"`{i}`").alias(n) for n, m in measures.items()]) for i in range(len(columns))]).alias("m")
     )
-    quartiles = exact_quantiles(rows, "value", [0.25, 0.5, 0.75], ["column"])
-    named = [F.col("q")[i].alias(name) for i, name in enumerate(("q25", "q50", "q75"))]
-    return simple.join(quartiles.select("column", *named), "column", "left")
+    quartiles = column_quantiles(doubles.select(F.array(*[F.col(f"`{i}`") for i in range(len(columns))]).alias("x")), [0.25, 0.5, 0.75])[0]
+    rows = [(c, *(None if np.isnan(v) else float(v) for v in q)) for c, q in zip(columns, quartiles, strict=True)] if len(quartiles) else []
+    named = F.lit([c for c in columns])[F.col("m.i")].alias("column")
+    simple = simple.select(F.explode("m").alias("m")).select(named, "m.*").drop("i")
+    found = df.sparkSession.createDataFrame(rows, "column string, q25 double, q50 double, q75 double")
+    return simple.where("count > 0").join(found, "column", "left")
 
 
 def null_counts(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features as prep
+from ..operators.digits import column_quantiles
 from ..operators.folds import fold_starts, kfold_contiguous, kfold_shuffled, literal
 from ..operators.linear import Coefficients
 from ..operators.moments import Moments, collect_moments, total
@@ -53,14 +54,9 @@ def mask_step(choose: Callable[[Moments], np.ndarray]) -> Step:
 
 
 def training_scales(df: DataFrame, k: int, fold: str = "fold") -> dict[int, prep.Affine]:
-    """Robust scaling of every training set (all folds but one), fitted on training rows only."""
-    training = df.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("held") != F.col(fold))
-    rows = prep.robust_parameters(training, ["held"]).collect()
-    out = {}
-    for f in range(k):
-        mine = sorted((r for r in rows if r["held"] == f), key=lambda r: r["column"])
-        out[f] = prep.Affine(np.array([r["median"] for r in mine]), np.diag([1 / r["scale"] for r in mine]))
-    return out
+    """Robust scaling of every training set (all folds but one), from the counts of its folds."""
+    sets = [[g for g in range(k) if g != f] for f in range(k)]
+    return {f: prep.robust_affine(q) for f, q in enumerate(column_quantiles(df, prep.QUARTILES, "x", fold, sets))}
 
 
 def cross_validate(
