@@ -1,5 +1,7 @@
 """Support vector fits against their dual, at any width, per group and on held-out tables."""
 
+from datetime import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -156,3 +158,15 @@ def test_shorten_refuses_what_it_cannot_state(spark):
     with pytest.raises(ValueError, match="more than 1"):
         isometry.shorten(spark.createDataFrame([("a", [1.0]), ("b", [2.0])], kind), max_rows=1)
     assert isometry.shorten(spark.createDataFrame([], kind)).rows.collect() == []
+
+
+def test_shorten_needs_no_arrow_setting(spark):
+    """The session of a query may leave Spark's Arrow conversion of pandas tables off, as is its default."""
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    for kind, keys in (("string", ["a", "b", "c"]), ("int", [3, 1, 2]), ("timestamp", [datetime(2020, 1, 1 + i, 3) for i in range(3)])):
+        rows = [(k, [1.0 * i, 2.0, 0.5]) for i, k in enumerate(keys)]
+        df = plain.createDataFrame(rows, f"subject_id {kind}, x array<double>")
+        got = {r["subject_id"]: np.array(r["x"]) for r in isometry.shorten(df).rows.collect()}
+        assert sorted(got) == sorted(keys)
+        assert all(np.isclose(got[a] @ got[b], np.dot(v, w)) for a, v in rows for b, w in rows)
