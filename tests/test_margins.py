@@ -170,3 +170,58 @@ def test_shorten_needs_no_arrow_setting(spark):
         got = {r["subject_id"]: np.array(r["x"]) for r in isometry.shorten(df).rows.collect()}
         assert sorted(got) == sorted(keys)
         assert all(np.isclose(got[a] @ got[b], np.dot(v, w)) for a, v in rows for b, w in rows)
+
+
+def test_turned_rows_have_the_same_inner_products(spark, monkeypatch):
+    """More rows than columns, copies, a column twice, a zero row; strips of a few columns."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 21))
+    x[:, 7] = x[:, 3]
+    x[5] = x[4]
+    x[6] = 0
+    frame = pd.DataFrame({"subject_id": [f"s{i}" for i in range(60)], "x": list(x), "age": rng.normal(size=60)})
+    df = spark.createDataFrame(frame, "subject_id string, x array<double>, age double").repartition(3)
+    monkeypatch.setattr(isometry, "STRIP_BYTES", 8 * 21 * 5)
+    turned = isometry.span(df, chunk=8)
+    got = turned.rows.toPandas().set_index("subject_id").loc[frame.subject_id]
+    z = np.stack(got.x)
+    assert z.shape[1] == 20 and np.allclose(z @ z.T, x @ x.T) and np.allclose(got.age, frame.age)
+    coef = rng.normal(size=20)
+    parts = turned.lengthen(coef).orderBy("chunk").toPandas()
+    assert np.allclose(x @ np.concatenate(parts["values"].to_list()), z @ coef)
+
+
+def test_span_of_more_rows_than_the_limit(spark):
+    """As many rows as no n x n matrix may have, at sixty-four columns."""
+    n = isometry.MAX_ROWS + 1
+    df = spark.range(n).select(F.col("id").alias("subject_id"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.sin(i * (F.col("id") + 1))).alias("x"))
+    with pytest.raises(ValueError, match="more than"):
+        isometry.shorten(df)
+    sums = isometry.span(df).rows.select((F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("q")).agg(F.count("q"), F.sum("q")).first()
+    whole = df.select(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v).alias("q")).agg(F.sum("q")).first()
+    assert sums[0] == n and np.isclose(sums[1], whole[0])
+
+
+def test_turn_refuses_what_it_cannot_state(spark):
+    kind = "subject_id string, x array<double>"
+    rows = [("a", [1.0]), ("b", [2.0]), ("c", [3.0])]
+    for bad in ([*rows, ("a", [1.0])], [*rows, (None, [1.0])], [("a", []), ("b", [])]):
+        with pytest.raises(ValueError):
+            isometry.turn(spark.createDataFrame(bad, kind))
+    for bad in ([None], [float("nan")], None, []):
+        with pytest.raises(Exception, match="null|NULL|different lengths"):
+            isometry.span(spark.createDataFrame([*rows, ("d", bad)], kind))
+    with pytest.raises(ValueError, match="more than 1"):
+        isometry.turn(spark.createDataFrame([("a", [1.0, 2.0])], kind), max_columns=1)
+    assert isometry.span(spark.createDataFrame([], kind)).rows.collect() == []
+
+
+def test_wide_hessians_equal_narrow_ones(small, monkeypatch):
+    df = flagged(small[0])
+    problems = [svr.Problem(c, 0, 0.1, loss) for c in (0.1, 1.0) for loss in ("epsilon_insensitive", "squared")]
+    narrow = svr.solve_problems(df, problems, group="site", gap=1e-6)
+    monkeypatch.setattr(newton, "WIDE", 3)
+    wide = svr.solve_problems(df, problems, group="site", gap=1e-6)
+    for site in (0, 1, 2):
+        for a, b in zip(narrow[site], wide[site]):
+            assert np.isclose(a.objective, b.objective, rtol=1e-5) and b.gap <= 1e-6
