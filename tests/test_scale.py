@@ -2,10 +2,12 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from kohort.catalog import views as V
 from kohort.operators import gram
+from kohort.sources import tables
 
 
 def table(spark, n, d=4, seed=0):
@@ -52,3 +54,29 @@ def test_r6_of_many_values_is_r6(spark):
     v = np.concatenate([rng.normal(size=5000), (rng.integers(-(10**8), 10**8, 5000) + 0.5) / 1e6, [0.0, -0.0, -1e-9, 5e-7, -5e-7, np.nan, np.inf, -1e300, 1e6]])
     out = spark.createDataFrame(pd.DataFrame({"v": v}), "v double").select(V.r6_many("v", "a"), V.r6("v", "b")).toPandas()
     assert (out.a.to_numpy().view(np.int64) == out.b.to_numpy().view(np.int64)).all()
+
+
+def test_key_matrix_of_a_thousand_subjects(spark, tmp_path):
+    """A line took the square of its cells before: 700 million comparisons here."""
+    n, path = 900, str(tmp_path / "m")
+    ids = F.format_string("s%04d", F.col("id"))
+    pairs = spark.range(n).select(ids.alias("id_a"), F.col("id").alias("i")).crossJoin(spark.range(n).select(ids.alias("id_b"), F.col("id").alias("j")))
+    pairs = pairs.select("id_a", "id_b", (F.sin(F.col("i") * 1000 + F.col("j")) * F.pow(F.lit(10.0), F.col("j") % 40 - 20)).alias("dot"))
+    tables.write_key_matrix(pairs.repartition(4), path)
+    wanted = spark.range(0, 2 * n, 2).select(ids.alias("subject_id"))
+    got = tables.read_key_matrix(spark, path, wanted.unionByName(wanted))
+    want = pairs.join(wanted.withColumnRenamed("subject_id", "id_a"), "id_a", "left_semi").join(wanted.withColumnRenamed("subject_id", "id_b"), "id_b", "left_semi")
+    both = got.join(want.withColumnRenamed("dot", "want"), ["id_a", "id_b"])
+    assert got.count() == both.where("dot = want").count() == (n // 2) ** 2
+
+
+def test_key_matrix_keeps_special_values_and_refuses_two_of_a_pair(spark, tmp_path):
+    path = str(tmp_path / "m")
+    rows = [("a", "a", float("nan")), ("a", "b", float("inf")), ("b", "a", float("-inf")), ("b", "b", None), ("c", "c", 1e-300), ("c", "a", -0.0)]
+    tables.write_key_matrix(spark.createDataFrame(rows, "id_a string, id_b string, dot double"), path)
+    ids = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "subject_id string")
+    got = {(r.id_a, r.id_b): r.dot for r in tables.read_key_matrix(spark, path, ids).collect()}
+    assert len(got) == 9 and np.isnan(got["a", "a"]) and got["a", "b"] == np.inf and got["b", "a"] == -np.inf
+    assert got["c", "c"] == 1e-300 and str(got["c", "a"]) == "-0.0" and [k for k, v in got.items() if v is None] != [] and got["b", "b"] is None
+    with pytest.raises(Exception, match="several values"):
+        tables.write_key_matrix(spark.createDataFrame([("a", "b", 1.0), ("a", "b", 1.0)], "id_a string, id_b string, dot double"), path + "2")
