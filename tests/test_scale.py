@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kohort.catalog import views as V
-from kohort.operators import gram
+from kohort.operators import gram, neighbours
 from kohort.sources import tables
 
 
@@ -80,3 +80,34 @@ def test_key_matrix_keeps_special_values_and_refuses_two_of_a_pair(spark, tmp_pa
     assert got["c", "c"] == 1e-300 and str(got["c", "a"]) == "-0.0" and [k for k, v in got.items() if v is None] != [] and got["b", "b"] is None
     with pytest.raises(Exception, match="several values"):
         tables.write_key_matrix(spark.createDataFrame([("a", "b", 1.0), ("a", "b", 1.0)], "id_a string, id_b string, dot double"), path + "2")
+
+
+@pytest.mark.parametrize("kind", ["plain", "copies", "far", "lattice"])
+def test_bounds_keep_what_all_differences_keep(kind):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(300, 6)), rng.normal(size=(9000, 6))
+    if kind == "copies":
+        a[:20], b[::3] = b[100], b[100]
+    if kind == "far":
+        # the nearest come last, lengths differ widely, and rounding hides small differences
+        b = np.concatenate([b[:5000] * 1e9, 1e6 + b[:3000] * 1e-4, b[5000:]])
+        a[:100] = 1e6 + a[:100] * 1e-4
+    if kind == "lattice":
+        a, b = np.round(a), np.round(b)
+    for take in (1, 7):
+        order, distance = neighbours.nearest_euclidean(a, b, take)
+        want_order, want_distance = neighbours.nearest_by_difference(a, b, take, 2)
+        assert (order == want_order).all() and (distance == want_distance).all()
+
+
+def test_neighbours_see_few_copies_of_rows(spark):
+    """Rows travelled n / 1024 times before, and all differences were formed."""
+    df, x, _ = table(spark, 6000, 3)
+    out = neighbours.nearest(df.where("position % 4 = 0"), df.where("position % 4 <> 0"), k=3).toPandas()
+    assert len(out) == 4500
+    train = np.flatnonzero(np.arange(6000) % 4)
+    for q in range(0, 6000, 400):
+        gap = np.sqrt(((x[train] - x[q]) ** 2).sum(1))
+        want = train[np.argsort(gap, kind="stable")[:3]]
+        got = out[out["query"] == f"s{q:05d}"].sort_values("distance")
+        assert got.neighbour.tolist() == [f"s{i:05d}" for i in want] and np.allclose(got.distance, np.sort(gap)[:3], rtol=1e-12)
