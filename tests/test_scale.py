@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kohort.catalog import views as V
-from kohort.operators import gram, neighbours
+from kohort.operators import gram, neighbours, newton, svr
 from kohort.sources import tables
 
 
@@ -111,3 +111,22 @@ def test_neighbours_see_few_copies_of_rows(spark):
         want = train[np.argsort(gap, kind="stable")[:3]]
         got = out[out["query"] == f"s{q:05d}"].sort_values("distance")
         assert got.neighbour.tolist() == [f"s{i:05d}" for i in want] and np.allclose(got.distance, np.sort(gap)[:3], rtol=1e-12)
+
+
+def test_pairs_of_small_classes_need_no_shared_passes(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    label = np.repeat([3, 5, 8, 9], [40, 25, 30, 1])
+    x = rng.normal(size=(96, 3)) + label[:, None] * np.array([0.5, -0.2, 0.1])
+    df = spark.createDataFrame(pd.DataFrame({"x": list(x), "label": label}), "x array<double>, label int").repartition(3)
+    classes, weights = [3, 5, 8, 9], {3: 0.5, 5: 1.5, 8: 1.0, 9: 4.0}
+    shared = svr._solve_pairs
+    monkeypatch.setattr(svr, "_solve_pairs", None)
+    w, first, second = svr.fit_one_vs_one(df, classes, 0.7, weights)
+    with pytest.raises(newton.NotConverged, match="pairs"):
+        svr.fit_one_vs_one(df, classes, 0.7, weights, max_passes=2)
+    # some pairs, then all of them, in passes over all rows
+    monkeypatch.setattr(svr, "_solve_pairs", shared)
+    for most in (8 * 4 * 30, 0):
+        monkeypatch.setattr(svr, "CLASS_BYTES", max(most, 1))
+        again = svr.fit_one_vs_one(df, classes, 0.7, weights)
+        assert np.allclose(w, again[0], atol=1e-6) and (first == again[1]).all() and (second == again[2]).all()
