@@ -1,12 +1,14 @@
 """Work and copies that may not grow with the square of the rows, and results beyond one tile or block."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from kohort.catalog import views as V
-from kohort.operators import gram, neighbours, newton, svr
+from kohort.operators import arrays, gram, neighbours, newton, svr
 from kohort.sources import tables
 
 
@@ -130,3 +132,28 @@ def test_pairs_of_small_classes_need_no_shared_passes(spark, monkeypatch):
         monkeypatch.setattr(svr, "CLASS_BYTES", max(most, 1))
         again = svr.fit_one_vs_one(df, classes, 0.7, weights)
         assert np.allclose(w, again[0], atol=1e-6) and (first == again[1]).all() and (second == again[2]).all()
+
+
+def test_wide_hessians_take_little_more_than_their_sums():
+    """The square, its triangle and two copies of it were held before."""
+    rng = np.random.default_rng(5)
+    n, p = 20, 1500
+    z, one, zero = rng.normal(size=(n, p)), np.ones((n, 1)), np.zeros(1)
+    w = rng.normal(size=(1, p)) * 1e-2
+    settings = (w, w * 0.1, one, zero, np.ones(1), np.zeros(1, bool), False)
+    tracemalloc.start()
+    got = newton.margin_sums(z, None, one, *settings)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.8 * got.nbytes
+    assert np.allclose(got, newton.margin_sums(z, newton.outer_products(z), one, *settings), rtol=1e-9, atol=1e-9)
+
+
+def test_sums_leave_in_small_batches():
+    sums = {0: np.arange(3_000_000.0).reshape(2, -1), 3: np.arange(5.0)}
+    batches = list(arrays.sliced(sums))
+    assert max(b.nbytes for b in batches) < 10 << 20
+    for g, s in sums.items():
+        rows = [r for b in batches for r in b.to_pylist() if r["g"] == g]
+        assert [r["part"] for r in rows] == list(range(len(rows)))
+        assert (np.concatenate([r["s"] for r in rows]) == s.ravel()).all()
